@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encoding, leakage, splitting, term_counts
+from . import encoding, leakage, site_lines, splitting, term_counts
 
 #: Where the public tokenizers' vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -27,6 +27,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(splitting.split_texts(table(spark, folder, "download_fnspid"), with_text=False))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.SiteLines(table(spark, folder, "download_fnspid")).found()
+
+
+def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.SiteLines(table(spark, folder, "download_fnspid")).cleaned()
+
+
+def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.SiteLines(table(spark, folder, "download_fnspid")).blocks()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_texts(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -39,7 +51,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(p9_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p5_pieces, p5_found, p8_ids, p9_leaks, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p8_ids, p9_leaks, p9_found)}
 
 _WHITE = "\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _TERMS = f"""
@@ -54,11 +66,24 @@ items as (select item_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-
 doc_runs as (select doc_id, array_to_string(w[i:i + 11], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from docs)),
 item_runs as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as run from (select item_id, w, unnest(range(1, len(w) - 10)) as i from items))
 """
+_LINES = f"""
+with counted as (
+  select row_id, Article, regexp_replace(regexp_extract(lower(trim(Url)), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), '^www\\.', '') as site
+  from download_fnspid where Article is not null and Url is not null),
+lines as (
+  select row_id, site, unnest(string_split(Article, chr(10))) as line, unnest(range(1, 1 + len(string_split(Article, chr(10))))) as line_no
+  from counted where site <> ''),
+bare as (select row_id, site, line_no, regexp_replace(line, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g') as line from lines),
+sizes as (select site, count(*) as n from counted where site <> '' group by site),
+repeated as (
+  select site, line from bare join sizes using (site) where line <> '' group by site, line, n having count(distinct row_id) >= greatest(4, n / 10e0))
+"""
 ORACLE = {
     "p1_terms": _TERMS + "select term, tf, df, mark from marked",
     "p1_found": _TERMS + "select term, mark from marked where mark is not null",
     "p5_found": """
 with long as (select row_id, regexp_replace(Article, '([.!?])[\\x{0009}\\x{000B}\\x{000C}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '\\1' || chr(10), 'g') as t from download_fnspid where length(Article) > 3000)
 select row_id, case when list_max(list_transform(string_split_regex(t, '[\\r\\n]'), lambda s: length(s))) > 3000 then 'forced' else 'natural' end as need from long""",
+    "p6_found": _LINES + "select row_id, cast(line_no as int) as line_no from bare join repeated using (site, line)",
     "p9_found": _ITEM_WORDS + "select distinct doc_id, item_id from doc_runs join item_runs using (run)",
 }
