@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encoding, leakage, site_lines, splitting, term_counts
+from . import encoding, leakage, near_duplicates, site_lines, splitting, term_counts
 
 #: Where the public tokenizers' vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,6 +19,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, folder, "download_fnspid")).expanded()
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, folder, "download_fnspid")).groups()
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "download_fnspid"))
 
@@ -51,7 +59,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(p9_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p8_ids, p9_leaks, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p8_ids, p9_leaks, p9_found)}
 
 _WHITE = "\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _TERMS = f"""
