@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +26,24 @@ def build(master: str = "local[*]", name: str = "newsloom", **conf: str) -> Spar
     builder = SparkSession.builder.master(master).appName(name)
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable on the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="newsloom-")) / "newsloom.zip"
+        with zipfile.ZipFile(path, "w") as archive:
+            for f in sorted(root.rglob("*.py")):
+                archive.write(f, os.path.relpath(f, root.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
