@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import encoding, leakage, near_duplicates, site_lines, splitting, term_counts
+from ..session import cut, table
+from . import clusters, encoding, leakage, near_duplicates, site_lines, splitting, term_counts
 
 #: Where the public tokenizers' vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,6 +47,14 @@ def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.SiteLines(table(spark, folder, "download_fnspid")).blocks()
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.linked_clusters(table(spark, folder, "fit_transformer_topics"))
+
+
+def p7_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.KMeans(cut(clusters.pack(table(spark, folder, "fit_transformer_topics")))).describe()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_texts(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -59,7 +67,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(p9_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p8_ids, p9_leaks, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p7_found, p7_clusters, p8_ids, p9_leaks, p9_found)}
 
 _WHITE = "\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _TERMS = f"""
