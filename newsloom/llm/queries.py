@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut, table
-from . import clusters, encoding, leakage, near_duplicates, site_lines, splitting, term_counts
+from . import clusters, encoding, leakage, near_duplicates, site_lines, splitting, term_counts, truncation
 
 #: Where the public tokenizers' vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -67,7 +67,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(p9_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p7_found, p7_clusters, p8_ids, p9_leaks, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.Truncation(table(spark, folder, "documents")).found()
+
+
+def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.Truncation(table(spark, folder, "documents")).by_source()
+
+
+QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p7_found, p7_clusters, p8_ids, p9_leaks, p9_found, p10_found, p10_sources)}
 
 _WHITE = "\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _TERMS = f"""
