@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import events
+from . import corpus_queries, events, topic_queries
 
-QUERIES = {**events.QUERIES}
-ORACLE = {**events.ORACLE}
+_PARTS = (events, corpus_queries, topic_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
