@@ -35,8 +35,8 @@ def without(words: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
 def with_bigrams(words: str) -> Column:
     """Words, then pairs of neighbours."""
     w = F.col(words)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-    return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def terms_of(df: DataFrame, stop: Sequence[str] | None = STOP_WORDS) -> DataFrame:
@@ -48,7 +48,8 @@ def terms_of(df: DataFrame, stop: Sequence[str] | None = STOP_WORDS) -> DataFram
 
 def pair_counts(terms: DataFrame) -> DataFrame:
     """Occurrences `tf` of every term in every text."""
-    return terms.select("row_id", F.explode("terms").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    # The outer form keeps the optimizer from adding a filter that would make the terms a second time.
+    return terms.select("row_id", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(df: DataFrame, size: int = 15_000, least_docs: int = 10, most_share: float = 0.4, stop: Sequence[str] | None = STOP_WORDS) -> DataFrame:
@@ -84,4 +85,4 @@ def passages(df: DataFrame, most_words: int = 200, least_words: int = 8, first:
     sliced = F.flatten(F.transform("paragraphs", lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(p) / most_words).cast("int") - 1)), lambda j: F.slice(p, j * most_words + 1, most_words))))
     good = F.filter(sliced, lambda s: F.size(s) >= least_words)
     kept = good if first is None else F.slice(good, 1, first)
-    return rows.select("row_id", F.posexplode(kept).alias("at", "words")).select("row_id", (F.col("at") + 1).alias("piece"), F.array_join("words", " ").alias("chunk"), F.size("words").cast("double").alias("weight"))
+    return rows.select("row_id", F.posexplode_outer(kept).alias("at", "words")).where("words is not null").select("row_id", (F.col("at") + 1).alias("piece"), F.array_join("words", " ").alias("chunk"), F.size("words").cast("double").alias("weight"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    """The vector over its length; the one-element array makes the length once, not for each place."""
+    return F.element_at(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def sound(v: Column, dims: int = 64) -> Column:
@@ -23,17 +25,56 @@ def sound(v: Column, dims: int = 64) -> Column:
 
 
 def mean_centroids(df: DataFrame, vector: str, label: str, dims: int = 64) -> DataFrame:
-    """topic, centroid (array of double): unit mean vector of each label, as one aggregation with a sum for each place."""
-    sums = df.where(sound(F.col(vector), dims)).groupBy(F.col(label).cast("int").alias("topic")).agg(*(F.avg(F.col(vector)[i].cast("double")).alias(f"v{i}") for i in range(dims)))
-    return sums.select("topic", unit(F.array(*(F.col(f"v{i}") for i in range(dims)))).alias("centroid"))
+    """topic, centroid (array of double): unit mean vector of each label; tasks add up whole vectors."""
+    schema = "topic int, n bigint, total array<double>"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            if b.num_rows:
+                topic, x = np.asarray(b.column(0)), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for t in np.unique(topic).tolist():
+                    held = sums.setdefault(t, [0, np.zeros(dims)])
+                    held[0] += int((topic == t).sum())
+                    held[1] += x[topic == t].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([v.tolist() for _, v in sums.values()], pa.list_(pa.float64()))], names=["topic", "n", "total"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        total = np.sum(rows.column("total").to_pylist(), axis=0)
+        norm = np.linalg.norm(total)
+        return pa.table({"topic": rows.column("topic")[:1], "centroid": pa.array([(total / norm if norm else total).tolist()], pa.list_(pa.float64()))})
+
+    rows = df.where(sound(F.col(vector), dims)).select(F.col(label).cast("int"), F.col(vector).cast("array<double>")).where(F.col(label).isNotNull())
+    return rows.mapInArrow(partial, schema).groupBy("topic").applyInArrow(mean, "topic int, centroid array<double>")
+
+
+def _matrix(centroids: DataFrame) -> tuple[list[int], np.ndarray]:
+    """Topics and their centroids, in order; topics x dims numbers, whatever the data."""
+    rows = centroids.orderBy("topic").collect()
+    return [r.topic for r in rows], np.array([r.centroid for r in rows])
+
+
+def _cosines(batch: pa.RecordBatch, centres: np.ndarray) -> np.ndarray:
+    v = batch.column("v").cast(pa.list_(pa.float64()))
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    return (x @ centres.T) / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def soft_assign(passages: DataFrame, centroids: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """Each passage with `p`, its share of every topic: softmax of cosine / temperature. The centroids (topics x dims) are broadcast as one row."""
-    packed = centroids.agg(F.sort_array(F.collect_list(F.struct("topic", "centroid"))).alias("all"))
-    scored = passages.crossJoin(F.broadcast(packed)).withColumn("s", F.transform("all", lambda c: dot(unit(F.col("v")), c["centroid"]) / temperature))
-    grown = scored.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-    return grown.withColumn("p", F.transform("e", lambda x: x / F.col("total"))).drop("s", "e", "total", "all")
+    """id, doc, w and `p`, each passage's share of every topic: softmax of cosine / temperature, one matrix product for each batch."""
+    if temperature <= 0:
+        raise ValueError("temperature must be positive")
+    _, centres = _matrix(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = _cosines(b, centres) / temperature
+                e = np.exp(s - s.max(1, keepdims=True))
+                p = pa.FixedSizeListArray.from_arrays(pa.array((e / e.sum(1, keepdims=True)).ravel()), len(centres)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), b.column("w"), p], names=["id", "doc", "w", "p"])
+
+    return passages.select("id", "doc", "w", "v").mapInArrow(run, "id bigint, doc bigint, w double, p array<double>")
 
 
 def document_weights(docs: DataFrame, assigned: DataFrame, topics: Sequence[int]) -> DataFrame:
@@ -100,8 +141,19 @@ def labels(tops: DataFrame, n: int = 3) -> DataFrame:
 
 
 def representatives(passages: DataFrame, centroids: DataFrame, n: int = 50) -> DataFrame:
-    """topic, place, id, cosine: the n passages nearest to each centroid. The rank limit applies before the shuffle."""
-    scored = passages.crossJoin(F.broadcast(centroids)).select("topic", "id", F.round(dot(unit(F.col("v")), F.col("centroid")), 9).alias("cosine"))
+    """topic, place, id, cosine: the n passages nearest to each centroid. Only n rows of each topic leave a batch."""
+    topics, centres = _matrix(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near, ids = np.round(_cosines(b, centres), 9), np.asarray(b.column("id"))
+                order = [np.lexsort((ids, -near[:, j]))[:n] for j in range(len(topics))]
+                pick = np.concatenate(order)
+                which = np.repeat(np.arange(len(topics)), [len(o) for o in order])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(topics)[which], pa.int32()), pa.array(ids[pick]), pa.array(near[pick, which])], names=["topic", "id", "cosine"])
+
+    scored = passages.select("id", "v").mapInArrow(run, "topic int, id bigint, cosine double")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("cosine"), "id"))).where(F.col("place") <= n).select("topic", "place", "id", "cosine")
 
 

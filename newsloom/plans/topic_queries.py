@@ -208,10 +208,10 @@ select doc, topic, round(case when margin >= c then t / sum(t) over (partition b
     "representative_passages": f"with {THETA_SQL} select topic, cast(place as int) as place, id, round(cosine, 6) as cosine from (select topic, id, round(cosine, 9) as cosine, row_number() over (partition by topic order by round(cosine, 9) desc, id) as place from scored) where place <= 20",
     "npmi": f"""{_HARD},
 n as (select count(*)::double as n from articles),
-pairs as (select a.topic, a.term_id as i, b.term_id as j from tops a join tops b on a.topic = b.topic and a.term_id < b.term_id),
-met as (select i, j, count(*) as co from (select distinct i, j from pairs) p join counts x on x.term_id = p.i join counts y on y.term_id = p.j and y.row_id = x.row_id group by i, j),
+term_pairs as (select a.topic, a.term_id as i, b.term_id as j from tops a join tops b on a.topic = b.topic and a.term_id < b.term_id),
+met as (select i, j, count(*) as co from (select distinct i, j from term_pairs) p join counts x on x.term_id = p.i join counts y on y.term_id = p.j and y.row_id = x.row_id group by i, j),
 df as (select term_id, count(*) as df from counts group by term_id),
-probs as (select topic, coalesce(co, 0) / n + 1e-12 as p, coalesce(di.df, 0) / n + 1e-12 as pi, coalesce(dj.df, 0) / n + 1e-12 as pj from pairs cross join n left join met using (i, j) left join df di on di.term_id = i left join df dj on dj.term_id = j)
+probs as (select topic, coalesce(co, 0) / n + 1e-12 as p, coalesce(di.df, 0) / n + 1e-12 as pi, coalesce(dj.df, 0) / n + 1e-12 as pj from term_pairs cross join n left join met using (i, j) left join df di on di.term_id = i left join df dj on dj.term_id = j)
 select topic, round(avg(ln(p / (pi * pj)) / -ln(p)), 6) as npmi from probs group by topic""",
     "diversity": f"{_HARD} select round(count(distinct term_id) / count(*)::double, 6) as diversity from tops",
     "topic_cosine": f"{_TWO} select a.topic as a, b.topic as b, round(sum(a.p * b.p) / (sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p))), 6) as cosine from phi a join phi_soft b using (term_id) group by 1, 2",
