@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import mix, shingles, words
+from ..functions.words import distinct, mix, shingles, words
 from ..session import cut
 from .batches import slices
 from .graph import components
@@ -49,7 +49,7 @@ def shingle_sets(texts: pa.Array, k: int, least_words: int) -> tuple[np.ndarray,
     enough = np.bincount(w.text, minlength=n) >= max(least_words, k)
     h, of, _ = shingles(w, k)
     keep = enough[of]
-    key = np.unique((of[keep].astype(np.uint64) << np.uint64(52)) | (h[keep] >> np.uint64(12)))
+    key = distinct((of[keep].astype(np.uint64) << np.uint64(52)) | (h[keep] >> np.uint64(12)))
     sizes = np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=n)[enough]
     return np.flatnonzero(enough), np.concatenate([[0], np.cumsum(sizes)]), key & np.uint64((1 << 52) - 1)
 
@@ -144,8 +144,8 @@ class ClassTexts:
             differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
             ok = self.kept[x] + self.kept[y] - differ >= 2 * need
             x, y = x[ok], y[ok]
-            found.append(np.unique(np.minimum(x, y) * len(n) + np.maximum(x, y)))
-        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            found.append(distinct(np.minimum(x, y) * len(n) + np.maximum(x, y)))
+        key = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
         out = [self._alike(key[i : i + 50_000], ratio) for i in range(0, len(key), 50_000)]
         return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
 
