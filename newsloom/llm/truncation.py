@@ -130,18 +130,20 @@ def ending(text: str) -> tuple[str, list[str], int, int]:
     return "open", [], *size
 
 
-def line_words(text: str) -> tuple[list[str], list[str]]:
-    """All words of a text but its very last one, and those of them that end a line."""
-    every, closing = [], []
-    lines = strip_marks(text).split("\n")
-    for i, line in enumerate(lines):
-        found = _WORD.findall(line)
-        if i < len(lines) - 1:
-            every += found
-            closing += found[-1:]
-        else:
-            every += found[:-1]
-    return every, closing
+def line_tokens(text: str) -> tuple[list[str], list[str]]:
+    """What stands between white space in a text, but for its very last token; and the last tokens of its lines but the last line."""
+    body = strip_marks(text)
+    return body.split()[:-1], [line[-1] for x in body.split("\n")[:-1] if (line := x.rsplit(None, 1))]
+
+
+def _words(tokens: Counter, last: bool) -> Counter:
+    """Counts of the words in counted tokens; of the last word of each only, if `last`."""
+    out: Counter = Counter()
+    for token, n in tokens.items():
+        found = _WORD.findall(token)
+        for w in found[-1:] if last else found:
+            out[w] += n
+    return out
 
 
 class Truncation:
@@ -181,22 +183,22 @@ class Truncation:
         held = self._HELD
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n: Counter = Counter()
-            end: Counter = Counter()
+            tokens: Counter = Counter()
+            ends: Counter = Counter()
 
             def flush() -> pa.RecordBatch:
-                words = list(n)
-                out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([end[w] for w in words], pa.int64())], names=["word", "n", "n_end"])
-                n.clear()
-                end.clear()
-                return out
+                n, end = _words(tokens, False), _words(ends, True)
+                tokens.clear()
+                ends.clear()
+                words = list(n.keys() | end.keys())
+                return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([end[w] for w in words], pa.int64())], names=["word", "n", "n_end"])
 
             for part in slices(batches, 0):
                 for text in part.column(0).to_pylist():
-                    every, closing = line_words(text)
-                    n.update(every)
-                    end.update(closing)
-                if len(n) > held:
+                    every, closing = line_tokens(text)
+                    tokens.update(every)
+                    ends.update(closing)
+                if len(tokens) > held:
                     yield flush()
             yield flush()
 
