@@ -33,26 +33,42 @@ _CLOSING = re.compile(
 _LABEL = re.compile(r"[^\W\d]\w*(?:\s\w+)?:\s")
 _BULLET = re.compile(r"(?:[-*+•·]|\d{1,3}[.)])\s+\S")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_LAST = re.compile(r"[^\s|]*\Z")
 _FIGURE_STOP = re.compile(r"(?:^|[\s(])[-+]?[$€£]?(?!(?:19|20)\d\d\.)\d[\d,]*\.\Z")
 
 
+#: Characters at the end of a text in which marks and markup are looked for at once; what lies before comes up when those are taken off.
+_TAIL = 400
+
+
+def _off(pattern: re.Pattern, text: str) -> str:
+    """The text without what the pattern, which ends at the end, matches there."""
+    cut = max(0, len(text) - _TAIL)
+    return text[:cut] + pattern.sub("", text[cut:])
+
+
+def _stops(text: str) -> bool:
+    return bool(_STOP.search(text[-_TAIL:]))
+
+
 def strip_marks(text: str) -> str:
     """The text without what was put after its end: markup, cut marks and closing lines."""
     body = text.rstrip()
     while True:
         before = body
-        body = _TAGS.sub("", body).rstrip()
-        body = _MARK.sub("", body).rstrip() if not _STOP.search(_MARK.sub("", body)) or body.endswith(("]", "�", "…")) else body
-        head, feed, last = body.rpartition("\n")
-        if feed and head.strip() and _CLOSING.match(last.strip()):
-            body = head.rstrip()
+        if body.endswith((">", ";")):
+            body = _off(_TAGS, body).rstrip()
+        bare = _off(_MARK, body)
+        if bare != body and (body.endswith(("]", "�", "…")) or not _stops(bare)):
+            body = bare.rstrip()
+        feed = body.rfind("\n")
+        if feed >= 0 and _CLOSING.match(body[feed + 1 :].strip()) and body[:feed].strip():
+            body = body[:feed].rstrip()
         if body == before:
             return body
 
 
 def _ends(line: str) -> bool:
-    return bool(_STOP.search(_TAGS.sub("", line.strip())))
+    return _stops(_off(_TAGS, line.strip()))
 
 
 def _shape(cell: str) -> str:
@@ -64,7 +80,7 @@ def _shape(cell: str) -> str:
 
 
 def _last_word(line: str) -> str:
-    return (_WORD.findall(_LAST.search(line)[0]) or [""])[-1]
+    return (_WORD.findall(line[-_TAIL:].rpartition("|")[2].split()[-1]) or [""])[-1] if line[-_TAIL:].rpartition("|")[2].strip() and not line[-1].isspace() else ""
 
 
 def _row(last: str, lines: list[str]) -> tuple[str, list[str]]:
@@ -97,28 +113,28 @@ def ending(text: str) -> tuple[str, list[str], int, int]:
     if not lines:
         return "whole", [], *size
     last = lines[-1].strip()
-    plain = _TAGS.sub("", last)
+    plain = _off(_TAGS, last)
     words: list[str] = []
     table = "\t" in last or " | " in last
     if table or _BULLET.match(last):
-        kind, words = _row(last, lines) if table else ("whole" if _STOP.search(plain) else "line", [_last_word(plain)])
+        kind, words = _row(last, lines) if table else ("whole" if _stops(plain) else "line", [_last_word(plain)])
         # Rows and entries may have been put after a cut text: what stands before them is looked at too.
         k = len(lines)
         while k and ("\t" in lines[k - 1] or " | " in lines[k - 1] or _BULLET.match(lines[k - 1].strip())):
             k -= 1
         inner = strip_marks("\n".join(lines[:k])).strip()
         if inner and kind != "open":
-            end = _TAGS.sub("", inner.rsplit("\n", 1)[-1].strip())
-            if _FIGURE_STOP.search(end):
+            end = _off(_TAGS, inner.rsplit("\n", 1)[-1].strip())
+            if _FIGURE_STOP.search(end[-_TAIL:]):
                 return "figure", [], len(inner), len(inner.encode("utf-8", "replace"))
-            if not _STOP.search(end) and not end.endswith((":", "：")):
+            if not _stops(end) and not end.endswith((":", "：")):
                 size = len(inner), len(inner.encode("utf-8", "replace"))
                 if re.search(r"[.!?]\s+\S", end):
                     return "open", [], *size
                 return "line", [*(w for w in words if kind == "line"), _last_word(end)], *size
         return kind, words if kind == "line" else [], *size
-    if _STOP.search(plain):
-        return ("figure" if _FIGURE_STOP.search(plain) else "whole"), [], *size
+    if _stops(plain):
+        return ("figure" if _FIGURE_STOP.search(plain[-_TAIL:]) else "whole"), [], *size
     if re.search(r"[.!?]\s+\S", plain):
         return "open", [], *size
     if _LABEL.match(last) and last.endswith(")"):
