@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hashed_features
+from ..session import cut
 from .topics import unit
 
 
@@ -31,14 +32,15 @@ def lda(counts: DataFrame, terms: int, k: int, optimizer: str = "online", seed:
         return SparseVector(terms, sorted((c.term_id, float(c.tf)) for c in cells))
 
     packed = counts.groupBy("row_id").agg(F.collect_list(F.struct("term_id", "tf")).alias("cells"))
-    rows = packed.select("row_id", F.udf(vector, VectorUDT())("cells").alias("features"))
+    rows = cut(packed.select("row_id", F.udf(vector, VectorUDT())("cells").alias("features")))
     model = LDA(k=k, optimizer=optimizer, seed=seed, maxIter=passes, featuresCol="features").fit(rows)
     weights = model.topicsMatrix().toArray()
     weights = weights / weights.sum(0)
     phi = counts.sparkSession.createDataFrame([(j, i, float(weights[i, j])) for j in range(k) for i in range(terms)], "topic int, term_id int, p double")
-    theta = model.transform(rows).select("row_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "t"))
-    total = theta.groupBy("row_id").agg(F.sum("t").alias("s"))
-    return phi, theta.join(total, "row_id").select("row_id", "topic", F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(1.0 / k).alias("theta"))
+    shares = cut(model.transform(rows).select("row_id", vector_to_array("topicDistribution").alias("t")))
+    total = F.aggregate("t", F.lit(0.0), lambda s, x: s + x)
+    even = F.transform("t", lambda x: F.when(total > 0, x / total).otherwise(1.0 / k))
+    return phi, shares.select("row_id", F.posexplode(even).alias("topic", "theta"))
 
 
 def encode(passages: DataFrame, dims: int = 64) -> DataFrame:

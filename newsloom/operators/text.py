@@ -18,8 +18,9 @@ WHITE = "\\t-\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202
 
 def clean(text: str) -> Column:
     """Null as empty, URLs and all but letters A-Z as blanks, lower case, single spaces."""
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"https?://[^{WHITE}]+", " ")
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(bare, f"[^A-Za-z{WHITE}]", " ")), f"[{WHITE}]+", " "))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    bare = F.when(F.contains(whole, F.lit("://")), F.regexp_replace(whole, f"https?://[^{WHITE}]+", " ")).otherwise(whole)
+    return F.trim(F.lower(F.regexp_replace(bare, "[^A-Za-z]+", " ")))
 
 
 def tokens(cleaned: Column) -> Column:

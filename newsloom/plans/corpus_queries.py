@@ -12,7 +12,7 @@ VOCABULARY = 2_000
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.raw_filter(table(spark, folder, "download_fnspid"))
+    return corpus.raw_filter(table(spark, folder, "download_fnspid", spread=True))
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import models, quality, text, topics
-from ..session import table
+from ..session import cut, table
 from . import corpus_queries as c
 
 TOPICS = tuple(range(10))
@@ -28,32 +30,47 @@ def theta(spark: SparkSession, folder: str) -> DataFrame:
     return topics.document_weights(docs, topics.soft_assign(known, centroids(spark, folder)), TOPICS)
 
 
-def members_hard(spark: SparkSession, folder: str) -> DataFrame:
-    return topics.hard_topic(_rounded(theta(spark, folder))).withColumn("weight", F.lit(1.0))
+class Base:
+    """What a query needs of texts and passages, each part made once and cut."""
 
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.articles = c.articles(spark, folder)
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("theta", F.round("theta", 9))
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return cut(text.vocabulary(self.articles, c.VOCABULARY))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return cut(text.term_counts(self.articles, self.vocab))
 
+    @cached_property
+    def theta(self) -> DataFrame:
+        return cut(theta(self.spark, self.folder))
 
-def phi(spark: SparkSession, folder: str, how: str = "hard") -> DataFrame:
-    members = theta(spark, folder).withColumnRenamed("theta", "weight") if how == "soft" else members_hard(spark, folder)
-    vocab = c.vocab(spark, folder)
-    return topics.ctfidf(text.term_counts(c.articles(spark, folder), vocab), members, vocab, TOPICS, sublinear=how == "sublinear")
+    @cached_property
+    def hard(self) -> DataFrame:
+        return topics.hard_topic(_rounded(self.theta)).withColumn("weight", F.lit(1.0))
 
+    def phi(self, how: str = "hard") -> DataFrame:
+        members = self.theta.withColumnRenamed("theta", "weight") if how == "soft" else self.hard
+        return topics.ctfidf(self.counts, members, self.vocab, TOPICS, sublinear=how == "sublinear")
 
-def attention(spark: SparkSession, folder: str, how: str = "soft") -> DataFrame:
-    weights = theta(spark, folder)
-    if how == "hard":
-        best = members_hard(spark, folder).select("doc", F.col("topic").alias("best"))
-        weights = weights.join(best, "doc").select("doc", "topic", F.when(F.col("topic") == F.col("best"), 1.0).otherwise(0.0).alias("theta"))
-    rows = c.articles(spark, folder)
-    docs = rows.select(F.col("row_id").alias("doc"), "date").join(text.token_totals(rows, c.term_counts(spark, folder)).withColumnRenamed("row_id", "doc"), "doc")
-    return topics.daily_attention(weights, docs)
+    def attention(self, how: str = "soft") -> DataFrame:
+        weights = self.theta
+        if how == "hard":
+            best = self.hard.select("doc", F.col("topic").alias("best"))
+            weights = weights.join(best, "doc").select("doc", "topic", F.when(F.col("topic") == F.col("best"), 1.0).otherwise(0.0).alias("theta"))
+        totals = text.token_totals(self.articles, self.counts).withColumnRenamed("row_id", "doc")
+        return topics.daily_attention(weights, self.articles.select(F.col("row_id").alias("doc"), "date").join(totals, "doc"))
 
+    def tops(self, n: int = 10) -> DataFrame:
+        return topics.top_terms(self.phi(), self.vocab, n)
 
-def tops(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
-    return topics.top_terms(phi(spark, folder), c.vocab(spark, folder), n)
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("theta", F.round("theta", 9))
 
 
 def topic_centroids(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +82,7 @@ def doc_topic_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hard_topic(spark: SparkSession, folder: str) -> DataFrame:
-    return members_hard(spark, folder).select("doc", "topic")
+    return Base(spark, folder).hard.select("doc", "topic")
 
 
 def sparsify(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,22 +91,22 @@ def sparsify(spark: SparkSession, folder: str) -> DataFrame:
 
 def _phi(how: str):  # noqa: ANN202
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return phi(spark, folder, how).select("topic", "term_id", F.round("p", 8).alias("p"))
+        return Base(spark, folder).phi(how).select("topic", "term_id", F.round("p", 8).alias("p"))
 
     query.__name__ = f"ctfidf_{how}"
     return query
 
 
 def daily_attention(spark: SparkSession, folder: str) -> DataFrame:
-    return attention(spark, folder).select("date", "topic", F.round("theta", 6).alias("theta"))
+    return Base(spark, folder).attention().select("date", "topic", F.round("theta", 6).alias("theta"))
 
 
 def top_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return tops(spark, folder).select("topic", "place", "term", F.round("p", 8).alias("p"))
+    return Base(spark, folder).tops().select("topic", "place", "term", F.round("p", 8).alias("p"))
 
 
 def topic_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return topics.labels(tops(spark, folder, 3))
+    return topics.labels(Base(spark, folder).tops(3))
 
 
 def representative_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,33 +114,38 @@ def representative_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def npmi(spark: SparkSession, folder: str) -> DataFrame:
-    counts = c.term_counts(spark, folder)
-    return quality.npmi(tops(spark, folder), counts, c.articles(spark, folder).count()).select("topic", F.round("npmi", 6).alias("npmi"))
+    base = Base(spark, folder)
+    return quality.npmi(cut(base.tops()), base.counts, base.articles.count()).select("topic", F.round("npmi", 6).alias("npmi"))
 
 
 def diversity(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.diversity(tops(spark, folder)).select(F.round("diversity", 6).alias("diversity"))
+    return quality.diversity(Base(spark, folder).tops()).select(F.round("diversity", 6).alias("diversity"))
 
 
 def topic_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.cosines(phi(spark, folder), phi(spark, folder, "soft")).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    base = Base(spark, folder)
+    return quality.cosines(base.phi(), base.phi("soft")).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def topic_matching(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.matching(quality.cosines(phi(spark, folder), phi(spark, folder, "soft")))
+    base = Base(spark, folder)
+    return quality.matching(quality.cosines(base.phi(), base.phi("soft")))
 
 
 def attention_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    both = quality.agreement(attention(spark, folder), attention(spark, folder, "hard"))
+    base = Base(spark, folder)
+    both = quality.agreement(base.attention(), base.attention("hard"))
     return both.select("topic", "n", *(F.round(x, 6).alias(x) for x in ("max_gap", "mean_gap", "r")))
 
 
 def contract_check(spark: SparkSession, folder: str) -> DataFrame:
-    return topics.contract(attention(spark, folder), phi(spark, folder))
+    base = Base(spark, folder)
+    return topics.contract(base.attention(), base.phi())
 
 
 def sweep_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scores = phi(spark, folder).select(F.lit("hard").alias("arm"), F.col("p").alias("score")).unionByName(phi(spark, folder, "soft").select(F.lit("soft").alias("arm"), F.col("p").alias("score")))
+    base = Base(spark, folder)
+    scores = base.phi().select(F.lit("hard").alias("arm"), F.col("p").alias("score")).unionByName(base.phi("soft").select(F.lit("soft").alias("arm"), F.col("p").alias("score")))
     return quality.summary(scores, "arm", "score").orderBy("arm").select("arm", "n", *(F.round(x, 9).alias(x) for x in ("mean", "median", "sd")))
 
 
@@ -136,11 +158,11 @@ def kmeans_euclid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lda_online(spark: SparkSession, folder: str) -> DataFrame:
-    return models.lda(c.term_counts(spark, folder), c.VOCABULARY, 8, "online")[1]
+    return models.lda(Base(spark, folder).counts, c.VOCABULARY, 8, "online")[1]
 
 
 def lda_em(spark: SparkSession, folder: str) -> DataFrame:
-    return models.lda(c.term_counts(spark, folder), c.VOCABULARY, 8, "em")[1]
+    return models.lda(Base(spark, folder).counts, c.VOCABULARY, 8, "em")[1]
 
 
 def hashed_passages(spark: SparkSession, folder: str) -> DataFrame:

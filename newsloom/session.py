@@ -58,6 +58,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a data folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a data folder. `spread` deals the rows of a table that is scanned by fewer tasks than half the cores (one small file, say) over all of them; larger tables are left as they lie."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
