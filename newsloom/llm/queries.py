@@ -12,7 +12,7 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return term_counts.term_counts(table(spark, folder, "download_fnspid"))
+    return term_counts.term_counts(table(spark, folder, "download_fnspid", spread=True))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,47 +20,47 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.NearDuplicates(table(spark, folder, "download_fnspid")).expanded()
+    return near_duplicates.NearDuplicates(table(spark, folder, "download_fnspid", spread=True)).expanded()
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.NearDuplicates(table(spark, folder, "download_fnspid")).groups()
+    return near_duplicates.NearDuplicates(table(spark, folder, "download_fnspid", spread=True)).groups()
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_texts(table(spark, folder, "download_fnspid"))
+    return splitting.split_texts(table(spark, folder, "download_fnspid", spread=True))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.oversized(splitting.split_texts(table(spark, folder, "download_fnspid"), with_text=False))
+    return splitting.oversized(splitting.split_texts(table(spark, folder, "download_fnspid", spread=True), with_text=False))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return site_lines.SiteLines(table(spark, folder, "download_fnspid")).found()
+    return site_lines.SiteLines(table(spark, folder, "download_fnspid", spread=True)).found()
 
 
 def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return site_lines.SiteLines(table(spark, folder, "download_fnspid")).cleaned()
+    return site_lines.SiteLines(table(spark, folder, "download_fnspid", spread=True)).cleaned()
 
 
 def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return site_lines.SiteLines(table(spark, folder, "download_fnspid")).blocks()
+    return site_lines.SiteLines(table(spark, folder, "download_fnspid", spread=True)).blocks()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.linked_clusters(table(spark, folder, "fit_transformer_topics"))
+    return clusters.linked_clusters(table(spark, folder, "fit_transformer_topics", spread=True))
 
 
 def p7_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.KMeans(cut(clusters.pack(table(spark, folder, "fit_transformer_topics")))).describe()
+    return clusters.KMeans(cut(clusters.pack(table(spark, folder, "fit_transformer_topics", spread=True)))).describe()
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.encode_texts(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return encoding.encode_texts(table(spark, folder, "documents", spread=True), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.leaks(table(spark, folder, "documents", spread=True), table(spark, folder, "eval_items"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,11 +68,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.Truncation(table(spark, folder, "documents")).found()
+    return truncation.Truncation(table(spark, folder, "documents", spread=True)).found()
 
 
 def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.Truncation(table(spark, folder, "documents")).by_source()
+    return truncation.Truncation(table(spark, folder, "documents", spread=True)).by_source()
 
 
 QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p7_found, p7_clusters, p8_ids, p9_leaks, p9_found, p10_found, p10_sources)}
