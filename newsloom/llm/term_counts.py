@@ -98,8 +98,8 @@ def term_counts(df: DataFrame, text: str = "Article", least_docs: int = 10, most
     sums = (F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     light = counted.where("slot is null").groupBy("term").agg(*sums)
     dense = counted.where("slot is not null").groupBy("slot", "term").agg(*sums)
-    total = F.broadcast(dense.where("slot = -1").select(F.col("df").alias("n_texts")))  # one row
+    n_texts = (counted.where("slot = -1").agg(F.sum("df")).first()[0]) or 0
     both = light.unionByName(dense.where("slot >= 0 and tf > 0").drop("slot"))
     rare = F.col("df") < least_docs
-    common = F.col("df") * 10_000 > F.col("n_texts") * round(most_share * 10_000)
-    return both.join(total).select(F.col("term").cast("string").alias("term"), "tf", "df", F.when(rare, "rare").when(common, "common").alias("mark"))
+    common = F.col("df") * 10_000 > n_texts * round(most_share * 10_000)
+    return both.select(F.col("term").cast("string").alias("term"), "tf", "df", F.when(rare, "rare").when(common, "common").alias("mark"))
