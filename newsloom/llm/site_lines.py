@@ -211,7 +211,7 @@ class SiteLines:
         return self.places().select(F.col("row_id").alias(self.row_id), "line_no")
 
     def cleaned(self, text: str = "Article") -> DataFrame:
-        """Every row's id and its text without its site's repeated lines, with `n_removed`. Null texts stay null; rows without a site keep their text."""
+        """Every row's id and its text without its site's repeated lines, with `n_removed`. Null texts stay null; rows without a site or an id keep their text. Ids must be unique: rows of one id are taken as one."""
         gone = self.places().groupBy("row_id").agg(F.collect_set("line_no").alias("gone"))
         kept = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("gone", (k + 1).cast("int")))
         joined = self.rows.join(gone, "row_id", "left")
