@@ -31,15 +31,17 @@ from .batches import slices
 from .graph import components
 
 CLASSES = 16
-#: Texts of one task of a class, about; beyond, a class is split by the shingle joined on.
-PART_TEXTS = 1_000_000
+#: Texts up to which a class is one task; beyond, it is split by the shingle joined on, and a text goes to the parts its prefix falls into.
+PART_TEXTS = 250_000
 #: Cells of the frequency sketch: the broadcast is one byte each, whatever the data.
 CELL_BITS = 24
 _RANGES = 16
 _LOW40 = np.uint64((1 << 40) - 1)
 _SLICE_ROWS = 4096
 #: Pairs looked at together within a task.
-_EVENTS = 2_000_000
+_EVENTS = 200_000
+#: Texts whose bitmaps are made together.
+_BITMAPS = 20_000
 
 
 def shingle_sets(texts: pa.Array, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,30 +103,35 @@ class ClassTexts:
     def bitmaps(self) -> np.ndarray:
         """256 bits for each text."""
         out = np.zeros((len(self.id), 4), np.uint64)
-        of = np.repeat(np.arange(len(self.id)), self.kept)
-        place = mix(self.token) & np.uint64(255)
-        np.bitwise_or.at(out, (of, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        for a in range(0, len(self.id), _BITMAPS):
+            n = self.kept[a : a + _BITMAPS]
+            of = a + np.repeat(np.arange(len(n)), n)
+            begin = self.begin[a]
+            place = mix(self.token[begin : begin + len(of)]) & np.uint64(255)
+            np.bitwise_or.at(out, (of, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
         return out
 
     def pairs(self, share: float, sub: int, subs: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the pairs that are alike within the class and meet at a shingle of part `sub`."""
         ratio = share / (1 + share)
         n, all_ = self.size, self.all
-        of = np.repeat(np.arange(len(self.id)), self.kept)
-        at = np.arange(len(self.token)) - self.begin[of] + (all_ - self.kept)[of]  # those that no other text has come first
-        early = self.stands[of] & (at <= all_[of] - np.ceil(share * all_[of] - 1e-9))
+        alone = all_ - self.kept  # those that no other text has come first
+        early = np.clip(all_ - np.ceil(share * all_ - 1e-9).astype(np.int64) + 1 - alone, 0, self.kept) * self.stands
+        doc = np.repeat(np.arange(len(self.id), dtype=np.int32), early)
+        within = (np.arange(len(doc)) - np.repeat(np.cumsum(early) - early, early)).astype(np.int32)
+        token = self.token[self.begin[doc] + within]
         if subs > 1:
-            early &= (self.token >> np.uint64(36)).astype(np.int64) % subs == sub
-        post = np.flatnonzero(early)
-        order = np.lexsort((all_[of[post]], self.token[post]))
-        post = post[order]
-        token, doc, at = self.token[post], of[post], at[post]
-        if len(post) < 2:
+            mine = (token >> np.uint64(36)).astype(np.int64) % subs == sub
+            token, doc, within = token[mine], doc[mine], within[mine]
+        order = np.lexsort((all_[doc], token))
+        token, doc = token[order], doc[order]
+        at = within[order] + alone[doc]
+        if len(token) < 2:
             return np.zeros((2, 0), np.int64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         stop = np.repeat(edge[1:], np.diff(edge))
         # The smaller set of a pair shares at least ratio * 2 of itself.
-        first = np.flatnonzero((at <= all_[doc] - np.ceil(2 * ratio * all_[doc] - 1e-9)) & (stop - np.arange(len(post)) > 1))
+        first = np.flatnonzero((at <= all_[doc] - np.ceil(2 * ratio * all_[doc] - 1e-9)) & (stop - np.arange(len(token)) > 1))
         count = stop[first] - first - 1
         bits = self.bitmaps()
         found: list[np.ndarray] = []
@@ -136,7 +143,7 @@ class ClassTexts:
             left = np.repeat(first[done:to], c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
             done = to
-            x, y = doc[left], doc[right]
+            x, y = doc[left].astype(np.int64), doc[right].astype(np.int64)
             need = np.ceil((all_[x] + all_[y]) * ratio - 1e-9)
             ok = np.minimum(all_[x] - at[left], all_[y] - at[right]) >= need
             ok &= np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y]) - 1e-9
