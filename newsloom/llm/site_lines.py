@@ -64,7 +64,7 @@ def repeated_blocks(rows: list[np.ndarray], least: int) -> list[tuple[tuple[int,
 
     Each is as long as it can be at one of its places; no place of it is part of a longer block that starts a line before.
     """
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], np.int64)
     line = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), size)
     row, line = row[line != 0], line[line != 0]
