@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import corpus, text
 from ..session import table
 
-VOCABULARY = 2_000
+#: Terms of the shared vocabulary, as in the reference (VOCAB_SIZE).
+VOCABULARY = 15_000
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
