@@ -28,6 +28,10 @@ STANDING = 16
 CELLS = 3
 #: Standing vectors of one side of one comparison task.
 SIDE = 20_000
+#: Vectors of one side of one task of the pass over all pairs, and its sides at least.
+WIDE, LEAST_SIDES = 50_000, 4
+#: Members from which a component gets bounds of its own in that pass.
+LARGE = 32
 _ROWS = 1_000
 
 
@@ -238,6 +242,62 @@ def _spread(x: np.ndarray, most: int) -> np.ndarray:
     return np.array(taken)
 
 
+def _tiles(x: np.ndarray, code: np.ndarray, centroids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of each large component's vectors, in parts of at most _ROWS that lie together; and the places of all others."""
+    large = np.bincount(code)[code] >= LARGE
+    rest, kept = np.flatnonzero(~large), np.flatnonzero(large)
+    if not len(kept):
+        return [], rest
+    cell = np.concatenate([(x[kept[a : a + _ROWS]] @ centroids.T).argmax(1) for a in range(0, len(kept), _ROWS)])
+    kept = kept[np.lexsort((cell, code[kept]))]
+    groups = np.split(kept, np.flatnonzero(np.diff(code[kept])) + 1)
+    return [g[a : a + _ROWS] for g in groups for a in range(0, len(g), _ROWS)], rest
+
+
+def _missing_links(node: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, least: float, centroids: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components (by node) that join all those with a linked pair of an x and a y; `same` if both sides are one.
+
+    Pairs of one component are left out, and pairs farther apart than the angle of a link
+    by the triangle inequality: a vector linked to one of a tile is at most that angle and
+    the tile's radius from the tile's centre. All other pairs are compared.
+    """
+    names, code = np.unique(np.concatenate([node, other]), return_inverse=True)
+    cx, cy = code[: len(node)], code[len(node) :]
+    root = np.arange(len(names))
+    link = np.arccos(np.clip(least, -1, 1))
+
+    def meet(u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> None:
+        nonlocal root
+        for p in range(0, len(u), _ROWS):
+            for q in range(0, len(v), SIDE):
+                i, j = np.nonzero(u[p : p + _ROWS] @ v[q : q + SIDE].T >= least)
+                a, b = root[cu[i + p]], root[cv[j + q]]
+                apart = a != b
+                if apart.any():
+                    pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
+                    root = union(len(root), np.concatenate([np.arange(len(root)), pairs[0]]), np.concatenate([root, pairs[1]]))
+
+    def bounded(tiles: list[np.ndarray], u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> None:
+        for tile in tiles:
+            centre = u[tile].mean(0, dtype=np.float64)
+            centre = (centre / max(np.linalg.norm(centre), 1e-30)).astype(np.float32)
+            radius = np.arccos(np.clip((u[tile] @ centre).min(), -1, 1))
+            far = np.cos(min(np.pi, link + radius + 2e-3)) - 1e-5
+            near = np.flatnonzero((v @ centre >= far) & (root[cv] != root[cu[tile[0]]]))
+            meet(u[tile], cu[tile], v[near], cv[near])
+
+    tiles, rest = _tiles(x, cx, centroids)
+    bounded(tiles, x, cx, y, cy)
+    if same:
+        meet(x[rest], cx[rest], x[rest], cx[rest])
+    else:
+        tiles, others = _tiles(y, cy, centroids)
+        bounded(tiles, y, cy, x[rest], cx[rest])
+        meet(x[rest], cx[rest], y[others], cy[others])
+    apart = np.flatnonzero(root != np.arange(len(root)))
+    return names[apart], names[root[apart]]
+
+
 def linked_clusters(df: DataFrame, row_id: str = "chunk_id", vector: str = "emb", dims: int = 64, least: float = 0.8, members: int = 5) -> DataFrame:
     """(id, cluster_id) of every vector in a cluster: vectors joined by links (cosine of at least `least`), directly or through others, at least `members` of them.
 
@@ -248,8 +308,10 @@ def linked_clusters(df: DataFrame, row_id: str = "chunk_id", vector: str = "emb"
     All vectors of a block are linked directly. A component of a block is then stood for
     by all its members, or STANDING of them that lie apart, and these are compared within
     the CELLS nearest k-means cells; a cell's comparisons are dealt over tasks in squares
-    of SIDE vectors. A link between two large components of different blocks is missed
-    only if none of their standing members are linked; the tests measure this.
+    of SIDE vectors. This joins most of what belongs together. A last pass, dealt in
+    squares of all vectors, compares every pair that is still in two components, but for
+    those that a bound on their angle rules out; so no link is missed. Its work is at
+    worst the square of the number of vectors.
     """
     blocks = cut(pack(df, row_id, vector, dims))
     model = KMeans(blocks, dims)
@@ -275,7 +337,7 @@ def linked_clusters(df: DataFrame, row_id: str = "chunk_id", vector: str = "emb"
                 "cell": pa.array([-1, *cells.tolist()], pa.int32()),
                 "ids": pa.array([ids.tobytes(), *(b"" for _ in parts)], pa.binary()),
                 "nodes": pa.array([node.tobytes(), *(node[p].tobytes() for p in parts)], pa.binary()),
-                "x": pa.array([b"", *(x[p].tobytes() for p in parts)], pa.binary()),
+                "x": pa.array([x.tobytes(), *(x[p].tobytes() for p in parts)], pa.binary()),
             })
 
     found = cut(blocks.mapInArrow(local, "cell int, ids binary, nodes binary, x binary"))
@@ -309,9 +371,33 @@ def linked_clusters(df: DataFrame, row_id: str = "chunk_id", vector: str = "emb"
             for ids, nodes in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_buffer(), "<i8")), pa.array(np.frombuffer(nodes.as_buffer(), "<i8"))], names=["id", "node"])
 
-    member = found.where("cell = -1").select("ids", "nodes").mapInArrow(unpack, "id bigint, node bigint")
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, x in zip(batch.column(0), batch.column(1), strict=True):
+                flat = pa.Array.from_buffers(pa.binary(4 * dims), len(nodes.as_buffer()) // 8, [None, x.as_buffer()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes.as_buffer(), "<i8")), flat.cast(pa.binary())], names=["node", "v"])
+
+    members_of = found.where("cell = -1")
+    wide = max(LEAST_SIDES, math.ceil(model.n / WIDE))
+    placed = members_of.select("nodes", "x").mapInArrow(vectors, "node bigint, v binary").join(joined, "node", "left").select(F.coalesce("root", "node").alias("node"), "v")
+    dealt = placed.withColumn("side", F.pmod(F.xxhash64("v"), F.lit(wide)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    all_squares = dealt.select(F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "v")
+
+    def complete(square: pa.Table) -> pa.Table:
+        def side(which: str) -> tuple[np.ndarray, np.ndarray]:
+            rows = square.filter(pc.equal(square.column("side"), square.column(which)[0]))
+            return np.asarray(rows.column("node")), np.frombuffer(b"".join(v.as_buffer() for v in rows.column("v")), "<f4").reshape(-1, dims)
+
+        one, two = square.column("p")[0].as_py(), square.column("q")[0].as_py()
+        node, x = side("p")
+        a, b = _missing_links(node, x, *((node, x) if one == two else side("q")), least, centroids, one == two)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = components(all_squares.groupBy("p", "q").applyInArrow(complete, "a bigint, b bigint"))
+    member = members_of.select("ids", "nodes").mapInArrow(unpack, "id bigint, node bigint")
     # Counted by node first: nodes are few where clusters are large.
-    sizes = member.groupBy("node").agg(F.count("*").alias("n")).join(joined, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = member.groupBy("node").agg(F.count("*").alias("n")).join(joined, "node", "left").select("n", F.col("node").alias("part"), F.coalesce("root", "node").alias("node"))
+    sizes = sizes.join(more, "node", "left").select(F.col("part").alias("node"), "n", F.coalesce("root", "node").alias("root"))
     large = sizes.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") >= members).select("root")
     named = sizes.select("node", "root").join(large, "root", "left_semi")
     return member.join(named, "node").select(F.col("id").alias(row_id), F.col("root").alias("cluster_id"))

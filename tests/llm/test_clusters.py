@@ -45,6 +45,33 @@ def test_linked_clusters(frame, monkeypatch, block, side):
     assert got == want
 
 
+def test_links_to_members_that_stand_for_nothing(frame, monkeypatch):
+    # Arms of one component, in one block; beyond each tip, in other blocks, a vector linked to that tip alone.
+    unit = np.eye(64)
+    arms = [np.cos(t) * unit[0] + np.sin(t) * unit[j] for t in (np.pi / 6, np.pi / 3) for j in range(1, 61)]
+    x = np.array([unit[0], *arms, *unit[1:61]])
+    monkeypatch.setattr(clusters, "BLOCK", 121)
+    df = frame([("", i, [float(v) for v in e], 0) for i, e in enumerate(x)], SCHEMA).coalesce(1)
+    assert {tuple(r) for r in clusters.linked_clusters(df).collect()} == brute(x, list(range(len(x)))) == {(i, 0) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_missing_links_are_those_of_all_pairs(monkeypatch, same):
+    monkeypatch.setattr(clusters, "LARGE", 8)
+    rng = np.random.default_rng(3)
+    x = planted(2, 300)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    node = np.where(rng.random(len(x)) < 0.7, np.arange(len(x)) % 6, np.arange(len(x)))
+    node[300:] = np.arange(300, len(x))
+    half = slice(None) if same else slice(0, 170)
+    rest = slice(None) if same else slice(170, None)
+    for least in (0.8, 0.95):
+        a, b = clusters._missing_links(node[half], x[half], node[rest], x[rest], least, x[:6], same)
+        i, j = np.nonzero(x[half] @ x[rest].T >= least)
+        got, want = graph.union(len(x), a, b), graph.union(len(x), node[half][i], node[rest][j])
+        assert got.tolist() == want.tolist()
+
+
 def test_kmeans_finds_planted_groups(frame):
     x = planted(1)
     df = frame([("", i, [float(v) for v in e], 0) for i, e in enumerate(x)], SCHEMA)
