@@ -166,7 +166,7 @@ def lda_em(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hashed_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return models.encode(text.passages(c.articles(spark, folder), first=3))
+    return models.encode(text.passages(c.articles(spark, folder)))
 
 
 QUERIES = {

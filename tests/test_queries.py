@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from newsloom.plans import corpus_queries
+from newsloom.plans import corpus_queries, topic_queries
 
 RAW = "row_id bigint, Date string, Article_title string, Stock_symbol string, Url string, Article string"
 
@@ -29,3 +29,11 @@ def test_vocabulary_holds_the_references_15000_terms(spark, folder):
     vocab = corpus_queries.vocabulary(spark, path).toPandas()
     assert len(vocab) == 15_000 and set(vocab.df) == {10}
     assert sum(r.n_tokens for r in corpus_queries.token_totals(spark, path).collect()) == 10 * 15_000
+
+
+def test_hashed_passages_are_all_passages(spark, folder):
+    path = folder(["\n".join(f"paragraph {k} of text {i} with words enough to count as one passage" for k in range(7)) for i in range(2)])
+    key = ("row_id", "piece", "weight")
+    got = topic_queries.hashed_passages(spark, path).select(*key, "v").collect()
+    assert sorted(r[:3] for r in got) == sorted(tuple(r) for r in corpus_queries.passages(spark, path).select(*key).collect())
+    assert len(got) == 2 * 7 and all(len(r.v) == 64 and abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in got)
