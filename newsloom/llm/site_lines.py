@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from .batches import slices
 CHUNK_ROWS = 20_000
 #: Candidate lines up to which they are broadcast (16 bytes each); beyond, they are joined.
 BROADCAST_LINES = 500_000
+#: Stands for lines that no block may hold.
+GAP = -(1 << 63)
 
 
 def site_of(url: str) -> Column:
@@ -59,11 +62,13 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def repeated_blocks(rows: list[np.ndarray], least: int) -> list[tuple[tuple[int, ...], int]]:
+def repeated_blocks(rows: list[np.ndarray], least: int, weight: np.ndarray | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Blocks of consecutive lines found in at least `least` of the rows, with their numbers of rows.
 
     Each is as long as it can be at one of its places; no place of it is part of a longer block that starts a line before.
+    `weight` has the number of equal rows that each row stands for. GAP breaks blocks.
     """
+    weight = np.ones(len(rows), np.int64) if weight is None else weight
     size = np.array([len(r) for r in rows], np.int64)
     line = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), size)
@@ -71,8 +76,9 @@ def repeated_blocks(rows: list[np.ndarray], least: int) -> list[tuple[tuple[int,
     if not len(line):
         return []
     name, code = np.unique(line, return_inverse=True)
-    spread = np.bincount(np.unique(row * len(name) + code) % len(name), minlength=len(name))
-    often = spread[code] >= least  # a block spreads no wider than any of its lines
+    of_line = np.unique(row * len(name) + code)
+    spread = np.bincount(of_line % len(name), weights=weight[of_line // len(name)], minlength=len(name))
+    often = (spread[code] >= least) & (line != GAP)  # a block spreads no wider than any of its lines
     gap = ~often | np.concatenate([[True], row[1:] != row[:-1]])
     # One separator before each stretch of lines that may be part of a block; every separator is unlike all others.
     keep = np.flatnonzero(often)
@@ -98,7 +104,7 @@ def repeated_blocks(rows: list[np.ndarray], least: int) -> list[tuple[tuple[int,
         of = where[suffix]
         pairs = np.unique(group * len(rows) + of)
         ids_of, inverse = np.unique(group, return_inverse=True)
-        count = np.bincount(np.searchsorted(ids_of, pairs // len(rows)), minlength=len(ids_of))
+        count = np.bincount(np.searchsorted(ids_of, pairs // len(rows)), weights=weight[pairs % len(rows)], minlength=len(ids_of)).astype(np.int64)
         good = count[inverse] >= least
         length[suffix[good]] = level
         wide[suffix[good]] = count[inverse][good]
@@ -115,6 +121,11 @@ def repeated_blocks(rows: list[np.ndarray], least: int) -> list[tuple[tuple[int,
     return list(found.items())
 
 
+def _least(n: int, share: float) -> int:
+    """Rows of n that `share` asks for."""
+    return max(1, math.ceil(round(n * share, 6)))
+
+
 class SiteLines:
     """Repeated lines of every site of a table.
 
@@ -128,6 +139,8 @@ class SiteLines:
     CHUNK_ROWS rows, into suffix arrays; blocks of lines that spread over `share` of a
     chunk's rows are candidates. A line that is repeated in a site is part of a candidate
     in at least one chunk. Candidates' places are then counted exactly over all rows.
+    Blocks of a site of several chunks are made from all its rows, of which only repeated
+    lines are kept and equal ones are one row with a weight.
     """
 
     def __init__(self, df: DataFrame, row_id: str = "row_id", url: str = "Url", text: str = "Article", least_rows: int = 4, share: float = 0.1) -> None:
@@ -139,39 +152,81 @@ class SiteLines:
 
     def _ids(self) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, 1):
-                lines = [np.array(line_ids(t), np.int64) for t in part.column(1).to_pylist()]
+            for part in slices(batches, 2):
+                lines = [np.array(line_ids(t), np.int64) for t in part.column(2).to_pylist()]
                 sizes = np.cumsum([0] + [len(x) for x in lines])
                 flat = pa.array(np.concatenate(lines))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["site", "lines"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["row_id", "site", "lines"])
 
-        return self.counted.select("site", "text").mapInArrow(run, "site string, lines array<bigint>")
+        return self.counted.select("row_id", "site", "text").mapInArrow(run, f"row_id {self.kind}, site string, lines array<bigint>")
 
-    def blocks(self) -> DataFrame:
-        """Candidate blocks: site, `lines` (identifiers), `n_rows` and `of_rows` of the chunk they were found in."""
+    def _candidates(self) -> DataFrame:
+        """Blocks of each chunk: site, `lines` (identifiers), `n_rows` and `of_rows` of the chunk, and the site's `chunks`."""
         least_rows, share = self.least_rows, self.share
 
         def run(chunk: pa.Table) -> pa.Table:
             rows = [np.asarray(x, np.int64) for x in chunk.column("lines").to_pylist()]
-            least = max(1, -int(-share * len(rows) // 1))
-            if chunk.column("chunks")[0].as_py() == 1:
-                least = max(least, least_rows)
-            found = repeated_blocks(rows, least)
+            chunks = chunk.column("chunks")[0].as_py()
+            least = _least(len(rows), share)
+            found = repeated_blocks(rows, max(least, least_rows) if chunks == 1 else least)
             n = len(found)
-            return pa.table({"site": pa.array([chunk.column("site")[0].as_py()] * n, pa.string()), "lines": pa.array([list(b) for b, _ in found], pa.list_(pa.int64())), "n_rows": pa.array([c for _, c in found], pa.int64()), "of_rows": pa.array([len(rows)] * n, pa.int64())})
+            return pa.table({"site": pa.array([chunk.column("site")[0].as_py()] * n, pa.string()), "lines": pa.array([list(b) for b, _ in found], pa.list_(pa.int64())), "n_rows": pa.array([c for _, c in found], pa.int64()), "of_rows": pa.array([len(rows)] * n, pa.int64()), "chunks": pa.array([chunks] * n, pa.int32())})
 
         sized = self._ids().join(self.sites.select("site", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("chunks")), "site")
-        salted = sized.withColumn("salt", F.pmod(F.xxhash64("lines", F.monotonically_increasing_id()), F.col("chunks")))
-        return salted.groupBy("site", "salt").applyInArrow(run, "site string, lines array<bigint>, n_rows bigint, of_rows bigint")
+        salted = sized.withColumn("salt", F.pmod(F.xxhash64("row_id", "lines"), F.col("chunks"))).drop("row_id")
+        return salted.groupBy("site", "salt").applyInArrow(run, "site string, lines array<bigint>, n_rows bigint, of_rows bigint, chunks int")
 
-    def places(self) -> DataFrame:
-        """Every place of a repeated line: row_id, site, line (identifier), line_no."""
-        lines = cut(self.blocks().select("site", F.explode("lines").alias("line")).distinct())
-        found = self._places_of(lines)
+    def blocks(self) -> DataFrame:
+        """Blocks of lines in at least `least_rows` rows and `share` of the rows of their site, once for each site: site, `lines` (identifiers), `n_rows`, `of_rows` (all rows of the site).
+
+        The driver holds the repeated lines of sites of several chunks: of each site at
+        most the lines of a row, on average, over `share`.
+        """
+        found = cut(self._candidates())
+        small = found.where("chunks = 1").select("site", "lines", "n_rows", "of_rows")
+        several = cut(found.where("chunks > 1").select("site", F.explode("lines").alias("line")).distinct())
+        if several.isEmpty():
+            return small
+        wanted = {site: np.sort(x.to_numpy(np.int64)) for site, x in self._repeated(self._places_of(several)).toPandas().groupby("site")["line"]}
+        least_rows, share = self.least_rows, self.share
+
+        def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                sites, lines = [], []
+                for site, row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    x = np.array(row, np.int64)
+                    x = x[x != 0]
+                    known = np.isin(x, wanted[site]) if site in wanted else np.zeros(len(x), bool)
+                    if known.any():
+                        x[~known] = GAP
+                        gap = x == GAP
+                        x = x[~gap | np.concatenate([[True], ~gap[:-1]])]
+                        sites.append(site)
+                        lines.append(x[int(x[0] == GAP) : len(x) - int(x[-1] == GAP)].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(lines, pa.list_(pa.int64()))], names=["site", "lines"])
+
+        def run(site: pa.Table) -> pa.Table:
+            rows = [np.asarray(x, np.int64) for x in site.column("lines").to_pylist()]
+            of = site.column("of_rows")[0].as_py()
+            kept = repeated_blocks(rows, max(_least(of, share), least_rows), np.asarray(site.column("weight")))
+            n = len(kept)
+            return pa.table({"site": pa.array([site.column("site")[0].as_py()] * n, pa.string()), "lines": pa.array([list(b) for b, _ in kept], pa.list_(pa.int64())), "n_rows": pa.array([c for _, c in kept], pa.int64()), "of_rows": pa.array([of] * n, pa.int64())})
+
+        large = self._ids().join(self.sites.where(F.col("n") > CHUNK_ROWS).select("site"), "site", "left_semi").select("site", "lines")
+        weighted = large.mapInArrow(bare, "site string, lines array<bigint>").groupBy("site", "lines").agg(F.count("*").alias("weight"))
+        sized = weighted.join(self.sites.withColumnRenamed("n", "of_rows"), "site")
+        return small.unionByName(sized.groupBy("site").applyInArrow(run, "site string, lines array<bigint>, n_rows bigint, of_rows bigint"))
+
+    def _repeated(self, found: DataFrame) -> DataFrame:
+        """site, line of the lines that are repeated in their site, by their places."""
         once = found.groupBy("site", "line").agg(F.sum("first").alias("rows"))
         enough = F.ceil(F.round(F.col("n") * self.share, 6))
-        repeated = once.join(self.sites, "site").where(F.col("rows") >= F.greatest(F.lit(self.least_rows), enough)).select("site", "line")
-        return found.drop("first").join(repeated, ["site", "line"], "left_semi")
+        return once.join(self.sites, "site").where(F.col("rows") >= F.greatest(F.lit(self.least_rows), enough)).select("site", "line")
+
+    def places(self) -> DataFrame:
+        """Every place of a repeated line: row_id, site, line (identifier), line_no."""
+        found = self._places_of(cut(self._candidates().select("site", F.explode("lines").alias("line")).distinct()))
+        return found.drop("first").join(self._repeated(found), ["site", "line"], "left_semi")
 
     def _places_of(self, lines: DataFrame) -> DataFrame:
         """Places of candidate lines; `first` is 1 at the first place of a line in its row, else 0."""

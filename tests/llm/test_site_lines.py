@@ -66,6 +66,32 @@ def test_against_brute_force(frame, monkeypatch, chunk, broadcast):
         assert clean[i].Article == kept
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_are_those_of_whole_sites(frame, monkeypatch, seed):
+    monkeypatch.setattr(site_lines, "CHUNK_ROWS", 15)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(140):
+        lines = [f"unique {rng.random()}"]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(4)
+            lines += ["a", "b", "c", "d", "e"][at : at + rng.randrange(1, 6)] + rng.choice([[], [""], [f"unique {rng.random()}"]])
+        rows.append((rng.choice("xxxxy"), "\n".join(lines + ["few"] * (i % 20 == 0))))
+    assert len({s for s, _ in rows}) == 2
+    df = frame([("", i, f"http://{s}.example/{i}", t, 0) for i, (s, t) in enumerate(rows)], SCHEMA)
+    want = []
+    for s in "xy":
+        texts = [np.array(site_lines.line_ids(t)) for x, t in rows if x == s]
+        least = max(4, -(-len(texts) // 10))
+        want += [(f"{s}.example", b, n, len(texts)) for b, n in site_lines.repeated_blocks(texts, least)]
+        for b, n in site_lines.repeated_blocks(texts, least):  # counted plainly
+            bare = [x[x != 0].tolist() for x in texts]
+            assert n == sum(any(tuple(x[i : i + len(b)]) == b for i in range(len(x))) for x in bare)
+    for parts in (1, 3):
+        got = [(r.site, tuple(r.lines), r.n_rows, r.of_rows) for r in site_lines.SiteLines(df.repartition(parts)).blocks().collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_empty(frame):
     assert site_lines.SiteLines(frame([], SCHEMA)).found().count() == 0
     assert site_lines.SiteLines(frame([("", 1, None, None, 0)], SCHEMA)).cleaned().count() == 1
