@@ -36,16 +36,24 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _FIGURE_STOP = re.compile(r"(?:^|[\s(])[-+]?[$€£]?(?!(?:19|20)\d\d\.)\d[\d,]*\.\Z")
 
 
-#: Characters at the end of a text in which marks and markup are looked for at once; what lies before comes up when those are taken off.
+#: Characters at the end of a text in which marks are looked for at once; what lies before comes up when those are taken off.
 _TAIL = 400
 
 
 def _off(pattern: re.Pattern, text: str) -> str:
-    """The text without what the pattern, which ends at the end, matches there."""
-    cut = max(0, len(text) - _TAIL)
+    """The text without what the pattern, which ends at the end, matches there. A tag at the end is taken in from its `<` on, however long it is."""
+    tag = text.rfind("<") if text.endswith(">") else -1
+    cut = max(0, min(len(text) - _TAIL, tag if tag >= 0 else len(text)))
     return text[:cut] + pattern.sub("", text[cut:])
 
 
+def _bare(line: str) -> str:
+    """The line without all the markup at its end."""
+    while (shorter := _off(_TAGS, line.rstrip())) != line:
+        line = shorter
+    return line
+
+
 def _stops(text: str) -> bool:
     return bool(_STOP.search(text[-_TAIL:]))
 
@@ -68,7 +76,7 @@ def strip_marks(text: str) -> str:
 
 
 def _ends(line: str) -> bool:
-    return _stops(_off(_TAGS, line.strip()))
+    return _stops(_bare(line.strip()))
 
 
 def _shape(cell: str) -> str:
@@ -113,7 +121,7 @@ def ending(text: str) -> tuple[str, list[str], int, int]:
     if not lines:
         return "whole", [], *size
     last = lines[-1].strip()
-    plain = _off(_TAGS, last)
+    plain = _bare(last)
     words: list[str] = []
     table = "\t" in last or " | " in last
     if table or _BULLET.match(last):
@@ -124,7 +132,7 @@ def ending(text: str) -> tuple[str, list[str], int, int]:
             k -= 1
         inner = strip_marks("\n".join(lines[:k])).strip()
         if inner and kind != "open":
-            end = _off(_TAGS, inner.rsplit("\n", 1)[-1].strip())
+            end = _bare(inner.rsplit("\n", 1)[-1].strip())
             if _FIGURE_STOP.search(end[-_TAIL:]):
                 return "figure", [], len(inner), len(inner.encode("utf-8", "replace"))
             if not _stops(end) and not end.endswith((":", "：")):

@@ -20,6 +20,14 @@ def test_cut(text):
     assert truncation.ending(text)[0] in ("open", "figure")
 
 
+@pytest.mark.parametrize("tag", ["<img src='data:image/png;base64," + "A" * 3_000 + "'>", "</p>" * 200, "<a href='" + "x" * 500 + "'></a>"])
+@pytest.mark.parametrize("feed", ["", "\n"])
+def test_long_markup_at_the_end(tag, feed):
+    assert truncation.ending(f"A sentence. It is whole.{feed}{tag}")[0] == "whole"
+    assert truncation.ending(f"A sentence. Then the plan{feed}{tag}")[0] == "open"
+    assert truncation.strip_marks(f"A sentence.{feed}{tag}") == "A sentence."
+
+
 def corpus():
     rng = random.Random(0)
     heads = ["Markets today"] + [f"{a} raised {b} exports" for a in ("Alpha", "Beta", "Gamma") for b in ("seasonal", "domestic", "quarterly")]
