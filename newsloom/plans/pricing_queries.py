@@ -131,26 +131,26 @@ def _fit_frame(spark: SparkSession, model: ipca.Fit) -> DataFrame:
 
 
 def ipca_fit(spark: SparkSession, folder: str) -> DataFrame:
-    return _fit_frame(spark, ipca.fit(_moments(spark, folder), k=2, lam=1e-6))
+    return _fit_frame(spark, ipca.fit(_moments(spark, folder), k=3, lam=1e-6))
 
 
 def ipca_grouped(spark: SparkSession, folder: str) -> DataFrame:
     m = _moments(spark, folder, HALFLIVES)
-    return _fit_frame(spark, ipca.fit(m, k=2, lam=1e-6, groups=ipca.row_groups(m.G.shape[1] - 1, len(HALFLIVES))))
+    return _fit_frame(spark, ipca.fit(m, k=3, lam=1e-6, groups=ipca.row_groups(m.G.shape[1] - 1, len(HALFLIVES))))
 
 
 def lambda_path(spark: SparkSession, folder: str) -> DataFrame:
-    _, tried = ipca.tune(_moments(spark, folder), k=2, n_lams=8)
+    _, tried = ipca.tune(_moments(spark, folder))
     return spark.createDataFrame([(a, float(b), c) for a, b, c in tried], "lam double, sharpe double, active int")
 
 
 def oos_portfolio(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(ipca.out_of_sample(_moments(spark, folder), k=2, n_lams=6), "month string, mve_oos double")
+    return spark.createDataFrame(ipca.out_of_sample(_moments(spark, folder)), "month string, mve_oos double")
 
 
 def selection_report(spark: SparkSession, folder: str) -> DataFrame:
     names = sorted(r.topic for r in table(spark, folder, "orders").select(F.col("o_orderpriority").alias("topic")).distinct().collect())
-    return spark.createDataFrame([(i, names[i], x) for i, x in ipca.selection(ipca.fit(_moments(spark, folder), k=2, lam=1e-6))], "topic int, label string, row_norm double")
+    return spark.createDataFrame([(i, names[i], x) for i, x in ipca.selection(ipca.fit(_moments(spark, folder), k=3, lam=1e-6))], "topic int, label string, row_norm double")
 
 
 QUERIES = {

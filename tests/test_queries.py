@@ -1,10 +1,11 @@
 """Queries on small folders of their own."""
 
+import inspect
 from itertools import product
 
 import pytest
 
-from newsloom.plans import corpus_queries, topic_queries
+from newsloom.plans import corpus_queries, pricing_queries, topic_queries
 
 RAW = "row_id bigint, Date string, Article_title string, Stock_symbol string, Url string, Article string"
 
@@ -37,3 +38,23 @@ def test_hashed_passages_are_all_passages(spark, folder):
     got = topic_queries.hashed_passages(spark, path).select(*key, "v").collect()
     assert sorted(r[:3] for r in got) == sorted(tuple(r) for r in corpus_queries.passages(spark, path).select(*key).collect())
     assert len(got) == 2 * 7 and all(len(r.v) == 64 and abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in got)
+
+
+def test_factor_queries_have_three_factors_and_twelve_penalties(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(pricing_queries, "_moments", lambda *_: None)
+    for name in ("tune", "out_of_sample", "fit"):
+        real = inspect.signature(getattr(pricing_queries.ipca, name))
+
+        def spy(*args, name=name, real=real, **kw):
+            bound = real.bind(*args, **kw)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+            raise LookupError
+
+        monkeypatch.setattr(pricing_queries.ipca, name, spy)
+    for query in (pricing_queries.lambda_path, pricing_queries.oos_portfolio, pricing_queries.ipca_fit):
+        with pytest.raises(LookupError):
+            query(spark, "")
+    assert [asked[n]["k"] for n in ("tune", "out_of_sample", "fit")] == [3, 3, 3]
+    assert [asked[n]["n_lams"] for n in ("tune", "out_of_sample")] == [12, 12]
