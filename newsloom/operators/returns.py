@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from ..session import cut
 
 
 def month(day: str) -> Column:
@@ -104,28 +111,107 @@ def windows(days: DataFrame, lookback: int = 252, least: int = 120) -> DataFrame
     return listed.join(numbered, "at").select("month", "date", (F.col("start") - 1 - F.col("at")).alias("back"))
 
 
+#: Numbers of the shocks' matrix (days x topics) sent to the tasks at once; more topics are taken in blocks.
+_SHOCKS = 8_000_000
+#: Stocks whose returns make one matrix.
+_TOGETHER = 64
+
+
 def covariances(returns: DataFrame, z: DataFrame, halflives: Sequence[int] = (60,), lookback: int = 252, least: int = 120) -> DataFrame:
     """month, id, topic and `cov_h` for each half-life: exponentially weighted covariance of a stock's returns with each topic's shocks.
 
-    Weights are 0.5 ** (back / halflife) over the days a stock has a return. Four sums give
-    each covariance, so one aggregation with map-side combine serves all half-lives. The
-    shocks of a day lie in one row, so nothing is multiplied by topics before the sums.
+    Weights are 0.5 ** (back / halflife) over the days a stock has a return; null and NaN
+    returns are none, repeated ones of a day are averaged. The calendar is every date of
+    `returns` (those without any return too) that has shocks; a stock needs `least`
+    returns in a window. An empty table gives no rows.
+
+    Stocks are dealt by id and come in order, so a task holds _TOGETHER of them at a time;
+    each window of theirs is one matrix product with the shocks. The calendar and the
+    shocks (a row a day, a column a topic) are the only broadcast, in blocks of topics.
     """
-    days = returns.select("date").distinct().join(z.select("date").distinct(), "date")
-    win = windows(days, lookback, least)
-    names = [r.topic for r in z.select("topic").distinct().orderBy("topic").collect()]  # one row for each topic
-    wide = z.groupBy("date").pivot("topic", names).agg(F.first("z"))
-    wide = wide.select("date", *(F.col(f"`{t}`").alias(f"z{i}") for i, t in enumerate(names)))
-    rows = returns.join(F.broadcast(win.join(wide, "date")), "date")
-    aggs = [F.count("*").alias("n")]
-    for h in halflives:
-        w = F.pow(F.lit(0.5), F.col("back") / float(h))
-        aggs += [F.sum(w).alias(f"w_{h}"), F.sum(w * F.col("ret")).alias(f"r_{h}")]
-        for i in range(len(names)):
-            aggs += [F.sum(w * F.col(f"z{i}")).alias(f"z_{h}_{i}"), F.sum(w * F.col("ret") * F.col(f"z{i}")).alias(f"rz_{h}_{i}")]
-    sums = rows.groupBy("month", "id").agg(*aggs).where(F.col("n") >= least)
-    cells = F.array(*(F.struct(F.lit(t).alias("topic"), *((F.col(f"rz_{h}_{i}") / F.col(f"w_{h}") - F.col(f"r_{h}") / F.col(f"w_{h}") * F.col(f"z_{h}_{i}") / F.col(f"w_{h}")).alias(f"cov_{h}") for h in halflives)) for i, t in enumerate(names)))
-    return sums.select("month", "id", F.inline(cells))
+    z = cut(z.select("date", "topic", "z"))  # a row for each day and topic, asked for several times
+    days = np.array(sorted(r.date for r in returns.select("date").distinct().join(z.select("date").distinct(), "date").where("date is not null").collect()), "datetime64[D]")
+    topics = [r.topic for r in z.select("topic").distinct().orderBy("topic").collect()]
+    kinds = dict(returns.dtypes)["id"], dict(z.dtypes)["topic"]
+    schema = f"month date, id {kinds[0]}, topic {kinds[1]}, " + ", ".join(f"cov_{h} double" for h in halflives)
+    usable = F.col("ret").isNotNull() & ~F.isnan("ret")
+    once = returns.where(usable & F.col("id").isNotNull()).select("id", "date", F.col("ret").cast("double").alias("ret")).repartition("id").groupBy("id", "date").agg(F.avg("ret").alias("ret"))
+    sorted_ = once.sortWithinPartitions("id", "date")
+    if not len(days):
+        return returns.sparkSession.createDataFrame([], schema)
+    wide = max(1, _SHOCKS // max(1, len(days)))
+    parts = [_block_covariances(sorted_, z, days, topics[i : i + wide], halflives, lookback, least, schema) for i in range(0, len(topics), wide)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_covariances(returns: DataFrame, z: DataFrame, days: np.ndarray, topics: list, halflives: Sequence[int], lookback: int, least: int, schema: str) -> DataFrame:
+    shock = np.zeros((len(days), len(topics)))
+    column = {t: i for i, t in enumerate(topics)}
+    for r in z.where(F.col("topic").isin(topics)).select("date", "topic", "z").collect():
+        at = int(np.searchsorted(days, np.datetime64(r.date, "D")))
+        if at < len(days) and days[at] == np.datetime64(r.date, "D"):
+            shock[at, column[r.topic]] = r.z
+    month_of = days.astype("datetime64[M]")
+    begins = np.flatnonzero(np.concatenate([[False], month_of[1:] != month_of[:-1]]))
+    ends = [int(e) for e in begins if min(e, lookback) >= least]
+    sent = returns.sparkSession.sparkContext.broadcast(shock)
+    arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
+    names = arrow_schema.names
+
+    def of(ids: list, r: np.ndarray) -> pa.RecordBatch:
+        """Covariances of the stocks in the columns of r (days x stocks, NaN for no return)."""
+        shocks_ = sent.value
+        have = ~np.isnan(r)
+        filled = np.where(have, r, 0.0)
+        out: dict[str, list] = {n: [] for n in names}
+        for end in ends:
+            begin = max(0, end - lookback)
+            seen = have[begin:end]
+            take = np.flatnonzero(seen.sum(0) >= least)
+            if not len(take):
+                continue
+            seen, held, x = seen[:, take].astype(float), filled[begin:end][:, take], shocks_[begin:end]
+            back = np.arange(end - begin)[::-1]
+            for h in halflives:
+                w = 0.5 ** (back / h)
+                total = w @ seen
+                mean = (w @ held) / total
+                # Deviations from a stock's own mean add up to zero, so the shocks need no centring of their own.
+                out[f"cov_{h}"].append(((w[:, None] * (held - seen * mean)).T @ x / total[:, None]).ravel())
+            out["month"].append(np.full(len(take) * len(topics), month_of[end]))
+            out["id"].append(np.repeat(take, len(topics)))
+        if not out["month"]:
+            return pa.RecordBatch.from_pylist([], schema=arrow_schema)
+        flat = {n: np.concatenate(v) for n, v in out.items() if v}
+        many = len(flat["id"]) // len(topics)
+        columns = [pa.array(flat["month"].astype("datetime64[D]")), pa.array(ids, arrow_schema.field("id").type).take(pa.array(flat["id"])), pa.array(topics * many, arrow_schema.field("topic").type)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(flat[f"cov_{h}"]) for h in halflives)], schema=arrow_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        r = np.full((len(days), _TOGETHER), np.nan)
+        for batch in batches:
+            who = batch.column("id").to_pylist()
+            date = batch.column("date").to_numpy(zero_copy_only=False).astype("datetime64[D]")
+            at = np.searchsorted(days, date)
+            known = (at < len(days)) & (days[np.minimum(at, len(days) - 1)] == date)
+            value = batch.column("ret").to_numpy(zero_copy_only=False)
+            edges = [0, *(i for i in range(1, len(who)) if who[i] != who[i - 1]), len(who)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b == a:
+                    continue
+                if not ids or ids[-1] != who[a]:
+                    if len(ids) == _TOGETHER:
+                        yield of(ids, r)
+                        ids = []
+                        r[:] = np.nan
+                    ids.append(who[a])
+                mine = np.arange(a, b)[known[a:b]]
+                r[at[mine], len(ids) - 1] = value[mine]
+        if ids:
+            yield of(ids, r[:, : len(ids)])
+
+    return returns.mapInArrow(run, schema)
 
 
 def panel(instruments: DataFrame, monthly_returns: DataFrame, value: str = "cov_60", standardize: bool = True) -> DataFrame:

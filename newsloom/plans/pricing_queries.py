@@ -9,6 +9,8 @@ from ..operators import ipca, returns
 from ..session import cut, table
 
 HALFLIVES = (20, 60, 120)
+#: Stocks of a year's universe, as in the reference.
+UNIVERSE = 1_000
 
 
 def orders_attention(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,12 +77,12 @@ def validity_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def universe_topn(spark: SparkSession, folder: str) -> DataFrame:
-    return returns.largest_by_year(table(spark, folder, "wrds_pull"), 20).select("year", "permno", F.round("me", 2).alias("me"), "place")
+    return returns.largest_by_year(table(spark, folder, "wrds_pull"), UNIVERSE).select("year", "permno", F.round("me", 2).alias("me"), "place")
 
 
 def universe_days(spark: SparkSession, folder: str) -> DataFrame:
     daily = table(spark, folder, "wrds_pull")
-    return returns.of_universe(daily, returns.largest_by_year(daily, 20)).select("year", "permno", "date", "ret")
+    return returns.of_universe(daily, returns.largest_by_year(daily, UNIVERSE)).select("year", "permno", "date", "ret")
 
 
 def excess_returns(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,6 +117,13 @@ def ewma_cov_multi(spark: SparkSession, folder: str) -> DataFrame:
     return _instruments(spark, folder, HALFLIVES).select("month", "id", "topic", *((F.round(F.col(f"cov_{h}") * 1e6, 6) + 0.0).alias(f"cov_{h}_ppm") for h in HALFLIVES))
 
 
+def ewma_cov_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """As `ewma_cov`, on returns of which some are null or NaN, with whole days without any."""
+    day = F.dayofyear("date")
+    holed = line_returns(spark, folder).withColumn("ret", F.when((day % 11 == 0) | ((day + F.col("id")) % 7 == 0), F.lit(None)).when((day + F.col("id")) % 13 == 0, float("nan")).otherwise(F.col("ret")))
+    return returns.covariances(holed, _shocks(spark, folder), (60,), 252, 100).select("month", "id", "topic", (F.round(F.col("cov_60") * 1e6, 6) + 0.0).alias("cov_ppm"))
+
+
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     rows = returns.panel(_instruments(spark, folder), _monthly(spark, folder))
     return rows.select("m_id", "month", "id", "topic", (F.round("x", 6) + 0.0).alias("x"), F.round("y", 9).alias("y"))
@@ -157,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         shocks, asof_trading_day, month_starts, validity_join, universe_topn, universe_days, excess_returns, returns_pivot_mean, monthly_returns, monthly_excess, ew_market, sharpe,
-        ewma_cov, ewma_cov_multi, panel, panel_gram, ipca_fit, ipca_grouped, lambda_path, oos_portfolio, selection_report,
+        ewma_cov, ewma_cov_multi, ewma_cov_nulls, panel, panel_gram, ipca_fit, ipca_grouped, lambda_path, oos_portfolio, selection_report,
     )
 }
 
@@ -187,10 +196,10 @@ rate as (select date, 1e-4 * (1 + month(date) % 3) as rf from (select distinct d
 compounded as (select cast(date_trunc('month', date) as date) as month, id, product(1 + ret) - 1 as ret from stocks where ret is not null group by 1, 2 having count(ret) >= 15),
 market as (select month, avg(ret) as market from compounded group by month)
 """
-_UNIVERSE = """
+_UNIVERSE = f"""
 june as (select year(date) as year, permno, date, abs(prc) * shrout as me from wrds_pull where month(date) = 6),
 last as (select year, permno, me from june where me is not null and not isnan(me) qualify row_number() over (partition by year, permno order by date desc, me desc) = 1),
-top as (select year, permno, me, row_number() over (partition by year order by me desc, permno) as place from last qualify row_number() over (partition by year order by me desc, permno) <= 20)
+top as (select year, permno, me, row_number() over (partition by year order by me desc, permno) as place from last qualify row_number() over (partition by year order by me desc, permno) <= {UNIVERSE})
 """
 _PANEL = f"""{_COV},
 months as (select month, row_number() over (order by month) - 1 as m_id from (select distinct month from cov)),
@@ -214,6 +223,13 @@ ORACLE = {
     "sharpe": f"with {_STOCKS} select round(avg(market) / stddev_samp(market) * sqrt(12e0), 6) as sharpe from market",
     "ewma_cov": f"with {_COV} select month, id, topic, round(cov_60 * 1e6, 6) + 0e0 as cov_ppm from cov",
     "ewma_cov_multi": f"with {_COV} select month, id, topic, {', '.join(f'round(cov_{h} * 1e6, 6) + 0e0 as cov_{h}_ppm' for h in HALFLIVES)} from cov",
+    "ewma_cov_nulls": f"""with {_ATTENTION},
+holed as (select date, id, case when dayofyear(date) % 11 = 0 or (dayofyear(date) + id) % 7 = 0 or (dayofyear(date) + id) % 13 = 0 then null else ret end as ret from lines),
+cal as (select date, row_number() over (order by date) as pos from (select distinct date from lines join z using (date))),
+starts as (select cast(date_trunc('month', date) as date) as month, min(pos) as start from cal group by 1 having min(pos) > 100),
+win as (select month, date, start - 1 - pos as back from starts join cal on pos >= start - 252 and pos < start),
+rows_ as (select month, id, topic, ret, z, pow(0.5e0, back / 60e0) as w from win join holed using (date) join z using (date) where ret is not null)
+select month, id, topic, round((sum(w * ret * z) / sum(w) - sum(w * ret) / sum(w) * sum(w * z) / sum(w)) * 1e6, 6) + 0e0 as cov_ppm from rows_ group by month, id, topic having count(*) >= 100""",
     "panel": f"with {_PANEL} select cast(m_id as int) as m_id, month, id, topic, round(x, 6) + 0e0 as x, round(y, 9) as y from scaled",
     "panel_gram": f"""with {_PANEL},
 cells as (
