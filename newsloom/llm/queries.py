@@ -32,7 +32,7 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.oversized(splitting.split_texts(table(spark, folder, "download_fnspid", spread=True), with_text=False))
+    return splitting.oversized(table(spark, folder, "download_fnspid", spread=True))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,6 +108,31 @@ ORACLE = {
     "p5_found": """
 with long as (select row_id, regexp_replace(Article, '([.!?])[\\x{0009}\\x{000B}\\x{000C}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '\\1' || chr(10), 'g') as t from download_fnspid where length(Article) > 3000)
 select row_id, case when list_max(list_transform(string_split_regex(t, '[\\r\\n]'), lambda s: length(s))) > 3000 then 'forced' else 'natural' end as need from long""",
+    "p5_pieces": f"""
+with recursive points as (
+  select row_id, unnest(c) as c, unnest(range(1, len(c) + 1)) as p from (select row_id, regexp_extract_all(Article, '(?s).') as c from download_fnspid where length(Article) > 3000)),
+seen as (
+  select row_id, p, regexp_full_match(c, '[{_WHITE}]') as space, c in (chr(10), chr(13)) as line, lag(c) over w in ('.', '!', '?') as after, c = chr(13) and lead(c) over w = chr(10) as pair
+  from points window w as (partition by row_id order by p)),
+inked as (select *, sum(case when space then 0 else 1 end) over (partition by row_id order by p) as ink from seen),
+line_ends as (select row_id, p, case when lag(ink) over (partition by row_id order by p) = ink then 4 else 3 end::bigint as strength from inked where line and not coalesce(pair, false)),
+bounds as (
+  select row_id, p as place, strength from line_ends
+  union all select row_id, p, case when after then 2 else 1 end::bigint from inked where space and not line),
+walk as (
+  select row_id, length(Article)::int as n_chars, 0 as piece_no, 0::bigint as begin, null::bigint as key from download_fnspid where length(Article) > 0
+  union all
+  select w.row_id, w.n_chars, w.piece_no + 1, x.key % 1000000000 - 200, x.key
+  from walk w join lateral (
+    select case when late >= 2000000000 then late when early is not null then early else coalesce(late, w.begin + 3000) end as key
+    from (select max(case when place >= w.begin + 1500 then strength * 1000000000 + place end) as late, max(case when place < w.begin + 1500 and strength >= 2 then strength * 1000000000 + place end) as early
+          from bounds b where b.row_id = w.row_id and place between w.begin + 201 and w.begin + 3000)) x on true
+  where w.n_chars - w.begin > 3000),
+ends as (select row_id, n_chars, piece_no, begin, lead(key) over (partition by row_id order by piece_no) as key from walk)
+select row_id, n_chars, cast(piece_no as int) as piece_no, cast(begin as int) as begin, cast(coalesce(key % 1000000000, n_chars) as int) as "end",
+  case when key is null then 'end' else ['inside', 'space', 'sentence', 'line', 'blank line'][key // 1000000000 + 1] end as cut,
+  substring(Article, begin + 1, coalesce(key % 1000000000, n_chars) - begin) as piece
+from ends join download_fnspid using (row_id)""",
     "p6_found": _LINES + "select row_id, cast(line_no as int) as line_no from bare join repeated using (site, line)",
     "p9_found": _ITEM_WORDS + "select distinct doc_id, item_id from doc_runs join item_runs using (run)",
 }

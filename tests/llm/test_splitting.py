@@ -15,12 +15,23 @@ TEXT = st.text(alphabet="ab .!?\n\r\té中", max_size=400)
 def test_pieces_rebuild_the_text(text, limit, overlap):
     bounds = splitting.Boundaries(text)
     got = splitting.pieces(bounds, limit, overlap)
+    if not text:
+        assert not got
+        return
     assert got[0][0] == 0 and got[-1][1] == len(text)
     assert all(b - a <= limit for a, b, _ in got)
     assert all(x[1] - y[0] == overlap for x, y in zip(got, got[1:]))
     assert text == text[got[0][0] : got[0][1]] + "".join(text[a + overlap : b] for a, b, _ in got[1:])
+    if len(text) > limit:
+        # Whatever cuts the walk takes, it is forced only where a stretch is too long.
+        walk = splitting.pieces(bounds, limit, 0, True)
+        assert text == "".join(text[a:b] for a, b, _ in walk)
+        assert (longest(text) > limit) == any(x < 2 for _, _, x in walk)
+
+
+def longest(text):
     cuts = [-1, *(i for i, c in enumerate(text) if c in "\n\r" or c.isspace() and i and text[i - 1] in ".!?"), len(text)]
-    assert bounds.longest == max(b - a for a, b in zip(cuts, cuts[1:])) - 1
+    return max(b - a for a, b in zip(cuts, cuts[1:])) - 1
 
 
 @settings(max_examples=80, deadline=None)
@@ -49,7 +60,7 @@ def test_table(frame):
     df = frame(rows, schema)
     got = splitting.split_texts(df, limit=10, overlap=2).collect()
     assert {r.row_id for r in got} == {1, 2, None, 5} and max(len(r.piece) for r in got) == 10
-    need = splitting.oversized(splitting.split_texts(df, limit=10, overlap=2, with_text=False), limit=10).collect()
+    need = splitting.oversized(df, limit=10).collect()
     assert sorted((r.row_id or 0, r.need) for r in need) == [(0, "forced"), (2, "natural"), (2, "natural"), (5, "forced")]
     assert splitting.split_texts(frame([], schema)).count() == 0
     with pytest.raises(ValueError):
