@@ -134,5 +134,24 @@ select row_id, n_chars, cast(piece_no as int) as piece_no, cast(begin as int) as
   substring(Article, begin + 1, coalesce(key % 1000000000, n_chars) - begin) as piece
 from ends join download_fnspid using (row_id)""",
     "p6_found": _LINES + "select row_id, cast(line_no as int) as line_no from bare join repeated using (site, line)",
+    "p6_cleaned": _LINES + """, gone as (select row_id, line_no from bare join repeated using (site, line)),
+removed as (select row_id, count(*) as n_removed from gone group by row_id),
+kept as (select row_id, string_agg(line, chr(10) order by line_no) as t from (select l.row_id, l.line_no, l.line from lines l anti join gone g on g.row_id = l.row_id and g.line_no = l.line_no) group by row_id)
+select d.row_id, case when n_removed is null then d.Article else coalesce(t, '') end as Article, cast(coalesce(n_removed, 0) as int) as n_removed
+from download_fnspid d left join removed using (row_id) left join kept using (row_id)""",
+    "p6_blocks": _LINES.replace("with counted", "with recursive counted") + """,
+ink as (select site, row_id, line, row_number() over (partition by row_id order by line_no) as k from bare where line <> ''),
+grown as (
+  select i.site, i.row_id, i.k, 1 as n_lines, i.line as block from ink i join repeated r on r.site = i.site and r.line = i.line
+  union all
+  select g.site, u.row_id, u.k, g.n_lines, g.block
+  from (
+    select p.site, p.n_lines + 1 as n_lines, p.block || chr(10) || i.line as block, s.n, list({'row_id': p.row_id, 'k': p.k}) as at
+    from grown p join ink i on i.row_id = p.row_id and i.k = p.k + p.n_lines join sizes s on s.site = p.site
+    group by p.site, p.n_lines, p.block || chr(10) || i.line, s.n having count(distinct p.row_id) >= greatest(4, s.n / 10e0)) g, unnest(g.at) as t(u)),
+longest as (select site, row_id, k, max(n_lines) as n_lines, max_by(block, n_lines) as block from grown group by site, row_id, k),
+starts as (select l.* from longest l left join longest b on b.row_id = l.row_id and b.k = l.k - 1 where coalesce(b.n_lines, 0) <= l.n_lines),
+rows_of as (select site, block, count(distinct row_id) as n_rows from grown group by site, block)
+select site, block, cast(any_value(n_lines) as int) as n_lines, any_value(n_rows) as n_rows, any_value(n) as of_rows from starts join rows_of using (site, block) join sizes using (site) group by site, block""",
     "p9_found": _ITEM_WORDS + "select distinct doc_id, item_id from doc_runs join item_runs using (run)",
 }
