@@ -20,19 +20,19 @@ from ..functions.words import mix
 from ..session import cut
 from .graph import components, union
 
-#: Vectors of one block; those of a block are linked with each other directly.
+#: Vectors of one block.
 BLOCK = 5_000
-#: Members that stand for a component of a block when components of different blocks are linked.
-STANDING = 16
-#: Cells (nearest centroids) a standing vector is compared within.
-CELLS = 3
-#: Standing vectors of one side of one comparison task.
+#: Vectors of a cell that are linked with each other in one task; larger cells are taken in parts.
 SIDE = 20_000
-#: Vectors of one side of one task of the pass over all pairs, and its sides at least.
+#: Members that stand for a larger part of a cluster when parts are compared.
+STANDING = 16
+#: Vectors of one side of one task in which parts are compared, and its sides at least.
 WIDE, LEAST_SIDES = 50_000, 4
-#: Members from which a component gets bounds of its own in that pass.
-LARGE = 32
+#: Vectors compared with one part in one task.
+VISITORS = 50_000
 _ROWS = 1_000
+#: What rounding may take from an angle.
+_SLACK = 2e-3
 
 
 def pack(df: DataFrame, row_id: str = "chunk_id", vector: str = "emb", dims: int = 64) -> DataFrame:
@@ -121,7 +121,9 @@ class KMeans:
                     near = part @ centroids.T
                     best = near.argmax(1)
                     count += np.bincount(best, minlength=k)
-                    np.add.at(sums, best, part)
+                    order = np.argsort(best, kind="stable")
+                    begin = np.flatnonzero(np.concatenate([[True], np.diff(best[order]) != 0]))
+                    sums[best[order][begin]] += np.add.reduceat(part[order], begin, dtype=np.float64)
                     cost += float((1 - near.max(1)).sum())
             yield pa.RecordBatch.from_pydict({"j": pa.array([0]), "sums": pa.array([sums.tobytes()], pa.binary()), "count": pa.array([count.tobytes()], pa.binary()), "cost": pa.array([cost])})
 
@@ -134,7 +136,8 @@ class KMeans:
         parts = self.blocks.mapInArrow(run, schema)
         # Two levels, so that no task meets more than about the square root of the number of tasks' tables.
         wide = max(1, math.isqrt(self.blocks.rdd.getNumPartitions()))
-        total = parts.withColumn("j", F.pmod(F.spark_partition_id(), F.lit(wide)).cast("bigint")).groupBy("j").applyInArrow(add, schema).groupBy("j").applyInArrow(add, schema).collect() if wide > 4 else parts.collect()
+        some = parts.withColumn("j", F.pmod(F.spark_partition_id(), F.lit(wide)).cast("bigint")).groupBy("j").applyInArrow(add, schema) if wide > 8 else parts
+        total = some.withColumn("j", F.lit(0).cast("bigint")).groupBy("j").applyInArrow(add, schema).collect()
         return sum(np.frombuffer(bytes(r.sums)).reshape(k, dims) for r in total), sum(np.frombuffer(bytes(r["count"]), np.int64) for r in total), sum(r.cost for r in total)
 
     def _seed(self, rounds: int, seed: int) -> np.ndarray:
@@ -218,15 +221,27 @@ def _recluster(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generat
     return centres.astype(np.float32)
 
 
-def _links(x: np.ndarray, y: np.ndarray, least: float, root: np.ndarray, offset: int) -> np.ndarray:
-    """`root` (of nodes 0..) after joining x's node i with y's node offset+j wherever their cosine is at least `least`."""
-    for at in range(0, len(x), _ROWS):
-        i, j = np.nonzero(x[at : at + _ROWS] @ y.T >= least)
-        a, b = root[i + at], root[j + offset]
-        apart = a != b
-        if apart.any():
-            pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
-            root = union(len(root), np.concatenate([np.arange(len(root)), pairs[0]]), np.concatenate([root, pairs[1]]))
+def _linked(x: np.ndarray, least: float) -> np.ndarray:
+    """For each vector the first one of those it is joined with by links.
+
+    Goes from vector to linked vectors that were not reached yet, so a vector is compared
+    only with those still unreached: of a dense group, nearly all in the first step.
+    """
+    root = np.empty(len(x), np.int64)
+    left, held = np.arange(len(x)), x
+    while len(left):
+        first, front = left[0], held[:1]
+        root[first] = first
+        left, held = left[1:], held[1:]
+        while len(front) and len(left):
+            hit = np.zeros(len(left), bool)
+            for at in range(0, len(front), _ROWS):
+                open_ = np.flatnonzero(~hit)
+                hit[open_] = (front[at : at + _ROWS] @ (held if at == 0 else held[open_]).T >= least).any(0)
+            if not hit.any():
+                break
+            root[left[hit]] = first
+            front, left, held = held[hit], left[~hit], held[~hit]
     return root
 
 
@@ -242,162 +257,236 @@ def _spread(x: np.ndarray, most: int) -> np.ndarray:
     return np.array(taken)
 
 
-def _tiles(x: np.ndarray, code: np.ndarray, centroids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Places of each large component's vectors, in parts of at most _ROWS that lie together; and the places of all others."""
-    large = np.bincount(code)[code] >= LARGE
-    rest, kept = np.flatnonzero(~large), np.flatnonzero(large)
-    if not len(kept):
-        return [], rest
-    cell = np.concatenate([(x[kept[a : a + _ROWS]] @ centroids.T).argmax(1) for a in range(0, len(kept), _ROWS)])
-    kept = kept[np.lexsort((cell, code[kept]))]
-    groups = np.split(kept, np.flatnonzero(np.diff(code[kept])) + 1)
-    return [g[a : a + _ROWS] for g in groups for a in range(0, len(g), _ROWS)], rest
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
 
 
-def _missing_links(node: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, least: float, centroids: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of components (by node) that join all those with a linked pair of an x and a y; `same` if both sides are one.
+def _vectors(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), "<f4").reshape(-1, dims)
 
-    Pairs of one component are left out, and pairs farther apart than the angle of a link
-    by the triangle inequality: a vector linked to one of a tile is at most that angle and
-    the tile's radius from the tile's centre. All other pairs are compared.
-    """
-    names, code = np.unique(np.concatenate([node, other]), return_inverse=True)
-    cx, cy = code[: len(node)], code[len(node) :]
-    root = np.arange(len(names))
-    link = np.arccos(np.clip(least, -1, 1))
-
-    def meet(u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> None:
-        nonlocal root
-        for p in range(0, len(u), _ROWS):
-            for q in range(0, len(v), SIDE):
-                i, j = np.nonzero(u[p : p + _ROWS] @ v[q : q + SIDE].T >= least)
-                a, b = root[cu[i + p]], root[cv[j + q]]
-                apart = a != b
-                if apart.any():
-                    pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
-                    root = union(len(root), np.concatenate([np.arange(len(root)), pairs[0]]), np.concatenate([root, pairs[1]]))
-
-    def bounded(tiles: list[np.ndarray], u: np.ndarray, cu: np.ndarray, v: np.ndarray, cv: np.ndarray) -> None:
-        for tile in tiles:
-            centre = u[tile].mean(0, dtype=np.float64)
-            centre = (centre / max(np.linalg.norm(centre), 1e-30)).astype(np.float32)
-            radius = np.arccos(np.clip((u[tile] @ centre).min(), -1, 1))
-            far = np.cos(min(np.pi, link + radius + 2e-3)) - 1e-5
-            near = np.flatnonzero((v @ centre >= far) & (root[cv] != root[cu[tile[0]]]))
-            meet(u[tile], cu[tile], v[near], cv[near])
-
-    tiles, rest = _tiles(x, cx, centroids)
-    bounded(tiles, x, cx, y, cy)
-    if same:
-        meet(x[rest], cx[rest], x[rest], cx[rest])
-    else:
-        tiles, others = _tiles(y, cy, centroids)
-        bounded(tiles, y, cy, x[rest], cx[rest])
-        meet(x[rest], cx[rest], y[others], cy[others])
-    apart = np.flatnonzero(root != np.arange(len(root)))
-    return names[apart], names[root[apart]]
-
-
-def linked_clusters(df: DataFrame, row_id: str = "chunk_id", vector: str = "emb", dims: int = 64, least: float = 0.8, members: int = 5) -> DataFrame:
-    """(id, cluster_id) of every vector in a cluster: vectors joined by links (cosine of at least `least`), directly or through others, at least `members` of them.
-
-    `cluster_id` is the cluster's smallest id. Vectors that `pack` leaves out have no
-    rows. An id that comes twice is one member for each row. An empty table gives no
-    rows. Other columns play no part.
-
-    All vectors of a block are linked directly. A component of a block is then stood for
-    by all its members, or STANDING of them that lie apart, and these are compared within
-    the CELLS nearest k-means cells; a cell's comparisons are dealt over tasks in squares
-    of SIDE vectors. This joins most of what belongs together. A last pass, dealt in
-    squares of all vectors, compares every pair that is still in two components, but for
-    those that a bound on their angle rules out; so no link is missed. Its work is at
-    worst the square of the number of vectors.
+
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), "<i8")
+
+
+class LinkedClusters:
+    """Clusters of linked vectors: two are linked if their cosine is at least `least`; a cluster is all vectors joined by links, directly or through others, if it has at least `members`.
+
+    Vectors that `pack` leaves out are in no cluster. An id that comes twice is one member
+    for each row. An empty table gives no rows. Other columns play no part.
+
+    Method: k-means deals the vectors to cells; those of a cell (in parts of SIDE at most)
+    are linked with each other directly. What is joined there is a part of a cluster; it
+    has a centre and a radius (the largest angle from it). Parts of at most STANDING
+    vectors are held by all their vectors, larger ones by STANDING that lie apart. All
+    standing vectors are compared with each other, in squares of WIDE; that joins most of
+    what belongs together. What is left is exact: a vector of a small part is compared
+    with every vector of a larger part if the triangle inequality allows a link (its angle
+    to the centre is at most the link's plus the radius), and so are two larger parts that
+    are not joined yet. No link is missed; the work is at worst the square of the number
+    of vectors outside larger parts.
     """
-    blocks = cut(pack(df, row_id, vector, dims))
-    model = KMeans(blocks, dims)
-    centroids = model.centroids
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _blocks(batches, dims):
+    def __init__(self, df: DataFrame, row_id: str = "chunk_id", vector: str = "emb", dims: int = 64, least: float = 0.8, members: int = 5) -> None:
+        self.row_id, self.dims, self.least, self.members = row_id, dims, least, members
+        self.blocks = cut(pack(df, row_id, vector, dims))
+        # The cells only route: a few rounds are enough.
+        self.model = KMeans(self.blocks, dims, rounds=2, passes=2)
+        self.parts = cut(self._parts())
+        self.root = self._joined()
+
+    def _parts(self) -> DataFrame:
+        """node (smallest id), n, ids, x of every part of a cluster; parts of one vector come packed, with a null node."""
+        dims, least, centroids = self.dims, self.least, self.model.centroids
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, x in _blocks(batches, dims):
+                best = np.concatenate([(x[a : a + _ROWS] @ centroids.T).argmax(1) for a in range(0, len(x), _ROWS)])
+                order = np.argsort(best, kind="stable")
+                groups = np.split(order, np.flatnonzero(np.diff(best[order])) + 1)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([int(best[g[0]]) for g in groups], pa.int32()), "ids": pa.array([ids[g].tobytes() for g in groups], pa.binary()), "x": pa.array([x[g].tobytes() for g in groups], pa.binary())})
+
+        def link(cell: pa.Table) -> pa.Table:
+            ids, x = _ids(cell.column("ids")), _vectors(cell.column("x"), dims)
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            root = _links(x, x, least, np.arange(len(x)), 0)
-            node = ids[root]
+            root = _linked(x, least)
             by = np.argsort(root, kind="stable")
-            edges = np.flatnonzero(np.diff(root[by])) + 1
-            stand = np.concatenate([g[_spread(x[g], STANDING)] for g in np.split(by, edges)])
-            near = x[stand] @ centroids.T
-            many = min(CELLS, near.shape[1])
-            cell = np.argpartition(-near, many - 1, axis=1)[:, :many].ravel()
-            of = np.repeat(stand, many)
-            go = np.argsort(cell, kind="stable")
-            cells, begin = np.unique(cell[go], return_index=True)
-            parts = np.split(of[go], begin[1:])
-            yield pa.RecordBatch.from_pydict({
-                "cell": pa.array([-1, *cells.tolist()], pa.int32()),
-                "ids": pa.array([ids.tobytes(), *(b"" for _ in parts)], pa.binary()),
-                "nodes": pa.array([node.tobytes(), *(node[p].tobytes() for p in parts)], pa.binary()),
-                "x": pa.array([x.tobytes(), *(x[p].tobytes() for p in parts)], pa.binary()),
-            })
-
-    found = cut(blocks.mapInArrow(local, "cell int, ids binary, nodes binary, x binary"))
-    standing = found.where("cell >= 0").drop("ids")
-    sides = standing.groupBy("cell").agg(F.ceil(F.sum(F.length("nodes") / 8) / SIDE).cast("int").alias("sides"))
-    sized = standing.join(sides, "cell").withColumn("side", F.pmod(F.xxhash64("nodes"), F.col("sides")).cast("int"))
-    squares = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("cell", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "nodes", "x")
-
-    def compare(square: pa.Table) -> pa.Table:
-        def side(which: str) -> tuple[np.ndarray, np.ndarray]:
-            rows = square.filter(pc.equal(square.column("side"), square.column(which)[0]))
-            node = np.concatenate([np.frombuffer(b.as_buffer(), "<i8") for b in rows.column("nodes")] or [np.zeros(0, np.int64)])
-            x = np.concatenate([np.frombuffer(b.as_buffer(), "<f4") for b in rows.column("x")] or [np.zeros(0, np.float32)])
-            return node, x.reshape(-1, dims)
-
-        node, x = side("p")
-        if square.column("p")[0].as_py() == square.column("q")[0].as_py():
-            root = _links(x, x, least, np.arange(len(x)), 0)
-        else:
-            other, y = side("q")
-            node = np.concatenate([node, other])
-            root = _links(x, y, least, np.arange(len(node)), len(x))
-        apart = np.flatnonzero(node != node[root])
-        pairs = np.unique(np.stack([node[apart], node[root[apart]]]), axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    joined = components(squares.groupBy("cell", "p", "q").applyInArrow(compare, "a bigint, b bigint"))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, nodes in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_buffer(), "<i8")), pa.array(np.frombuffer(nodes.as_buffer(), "<i8"))], names=["id", "node"])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for nodes, x in zip(batch.column(0), batch.column(1), strict=True):
-                flat = pa.Array.from_buffers(pa.binary(4 * dims), len(nodes.as_buffer()) // 8, [None, x.as_buffer()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes.as_buffer(), "<i8")), flat.cast(pa.binary())], names=["node", "v"])
-
-    members_of = found.where("cell = -1")
-    wide = max(LEAST_SIDES, math.ceil(model.n / WIDE))
-    placed = members_of.select("nodes", "x").mapInArrow(vectors, "node bigint, v binary").join(joined, "node", "left").select(F.coalesce("root", "node").alias("node"), "v")
-    dealt = placed.withColumn("side", F.pmod(F.xxhash64("v"), F.lit(wide)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    all_squares = dealt.select(F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "v")
-
-    def complete(square: pa.Table) -> pa.Table:
-        def side(which: str) -> tuple[np.ndarray, np.ndarray]:
-            rows = square.filter(pc.equal(square.column("side"), square.column(which)[0]))
-            return np.asarray(rows.column("node")), np.frombuffer(b"".join(v.as_buffer() for v in rows.column("v")), "<f4").reshape(-1, dims)
-
-        one, two = square.column("p")[0].as_py(), square.column("q")[0].as_py()
-        node, x = side("p")
-        a, b = _missing_links(node, x, *((node, x) if one == two else side("q")), least, centroids, one == two)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    more = components(all_squares.groupBy("p", "q").applyInArrow(complete, "a bigint, b bigint"))
-    member = members_of.select("ids", "nodes").mapInArrow(unpack, "id bigint, node bigint")
-    # Counted by node first: nodes are few where clusters are large.
-    sizes = member.groupBy("node").agg(F.count("*").alias("n")).join(joined, "node", "left").select("n", F.col("node").alias("part"), F.coalesce("root", "node").alias("node"))
-    sizes = sizes.join(more, "node", "left").select(F.col("part").alias("node"), "n", F.coalesce("root", "node").alias("root"))
-    large = sizes.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") >= members).select("root")
-    named = sizes.select("node", "root").join(large, "root", "left_semi")
-    return member.join(named, "node").select(F.col("id").alias(row_id), F.col("root").alias("cluster_id"))
+            groups = np.split(by, np.flatnonzero(np.diff(root[by])) + 1)
+            single = np.array([g[0] for g in groups if len(g) == 1], np.int64)
+            groups = [g for g in groups if len(g) > 1] + ([single] if len(single) else [])
+            nodes = [None if g is single else int(ids[g[0]]) for g in groups]
+            return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array([len(g) for g in groups], pa.int64()), "ids": pa.array([ids[g].tobytes() for g in groups], pa.binary()), "x": pa.array([x[g].tobytes() for g in groups], pa.binary())})
+
+        dealt = cut(self.blocks.mapInArrow(deal, "cell int, ids binary, x binary"))
+        sides = dealt.groupBy("cell").agg(F.ceil(F.sum(F.length("ids") / 8) / SIDE).cast("int").alias("sides"))
+        sized = dealt.join(sides, "cell").withColumn("side", F.pmod(F.xxhash64("ids"), F.col("sides")).cast("int"))
+        return sized.groupBy("cell", "side").applyInArrow(link, "node bigint, n bigint, ids binary, x binary")
+
+    def _joined(self) -> DataFrame:
+        """(node, root) of every part that belongs together with another."""
+        dims, least = self.dims, self.least
+        reach = float(np.arccos(np.clip(least, -1, 1)))
+
+        def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # kind 0: a vector of a part held by all its vectors; 1: one that stands for a larger part; 2: a larger part's centre, with its radius.
+            for batch in batches:
+                for node, ids, x in zip(batch.column("node").to_pylist(), *(batch.column(c) for c in ("ids", "x")), strict=True):
+                    ids, x = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(x.as_buffer(), "<f4").reshape(-1, dims)
+                    taken = x if node is None else x[_spread(x, STANDING)]
+                    nodes = ids if node is None else np.full(len(taken), node)
+                    kind, radius = np.full(len(taken), int(node is not None and len(x) > STANDING)), np.zeros(len(taken))
+                    if node is not None and len(x) > STANDING:
+                        centre = x.mean(0, dtype=np.float64)
+                        centre = (centre / max(np.linalg.norm(centre), 1e-30)).astype(np.float32)
+                        taken, nodes = np.concatenate([taken, centre[None]]), np.append(nodes, node)
+                        kind, radius = np.append(kind, 2), np.append(radius, float(_angle((x @ centre).min())))
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "kind": pa.array(kind, pa.int32()), "radius": pa.array(radius), "v": pa.array([v.tobytes() for v in taken], pa.binary())})
+
+        standing = cut(self.parts.mapInArrow(stand, "node bigint, kind int, radius double, v binary"))
+        wide = max(LEAST_SIDES, math.ceil(standing.count() / WIDE))
+        dealt = standing.withColumn("side", F.pmod(F.xxhash64("node", "v"), F.lit(wide)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+        squares = dealt.select(F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "kind", "radius", "v")
+
+        def compare(square: pa.Table) -> pa.Table:
+            # Rows: (a, b) joined; (a, b, v) a vector of b that may be linked to the larger part a; (a, b, bound) larger parts that may be linked.
+            sides = [square.filter(pc.equal(square.column("side"), square.column(c)[0])) for c in (("p", "q") if square.column("p")[0].as_py() != square.column("q")[0].as_py() else ("p",))]
+            node, kind, radius = (np.concatenate([np.asarray(s.column(c)) for s in sides]) for c in ("node", "kind", "radius"))
+            v = np.concatenate([_vectors(s.column("v"), dims) for s in sides])
+            side = np.repeat(np.arange(len(sides)), [len(s) for s in sides])
+            names, code = np.unique(node, return_inverse=True)
+            root = np.arange(len(names))
+            points = [np.flatnonzero((kind < 2) & (side == k)) for k in range(len(sides))]
+            root = _meet(v, code, points[0], points[-1], least, root)
+            out: dict[str, list] = {c: [] for c in ("a", "b", "v", "bound")}
+
+            def add(a: np.ndarray, b: np.ndarray, v_: list, bound: np.ndarray) -> None:
+                for c, values in zip(out, (a.tolist(), b.tolist(), v_, bound.tolist()), strict=True):
+                    out[c] += values
+
+            joined = np.flatnonzero(root != np.arange(len(root)))
+            add(names[joined], names[root[joined]], [None] * len(joined), np.full(len(joined), np.nan))
+            large = np.flatnonzero(kind == 2)
+            small = np.flatnonzero(kind == 0)
+            for at in large.tolist():
+                far = np.cos(min(np.pi, reach + radius[at] + _SLACK)) - 1e-5
+                # Two sides meet: what one side holds meets the other side only; pairs within a side are another square's.
+                met = small[side[small] != side[at]] if len(sides) > 1 else small
+                near = met[v[met] @ v[at] >= far]
+                near = near[root[code[near]] != root[code[at]]]
+                add(np.full(len(near), node[at]), node[near], [x.tobytes() for x in v[near]], np.full(len(near), np.nan))
+                others = large[(large > at) & ((side[large] != side[at]) | (len(sides) == 1))]
+                others = others[(_angle(v[others] @ v[at]) <= reach + radius[at] + radius[others] + _SLACK) & (root[code[others]] != root[code[at]])]
+                # The part with the larger radius is visited; its centre goes along.
+                for o in others.tolist():
+                    a, b = (at, o) if radius[at] >= radius[o] else (o, at)
+                    add(node[[a]], node[[b]], [v[a].tobytes()], np.array([np.cos(min(np.pi, reach + radius[a] + _SLACK)) - 1e-5]))
+            return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "v": pa.array(out["v"], pa.binary()), "bound": pa.array(out["bound"], pa.float64(), from_pandas=True)})
+
+        met = cut(squares.groupBy("p", "q").applyInArrow(compare, "a bigint, b bigint, v binary, bound double"))
+        links = met.where("v is null").select("a", "b")
+        joined = components(links)
+        roots = joined.select(F.col("node").alias("n"), "root")
+        open_ = met.where("v is not null").join(roots.select(F.col("n").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("n").alias("b"), F.col("root").alias("rb")), "b", "left")
+        open_ = cut(open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "v", "bound"))
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, centre, bound, x in zip(*(batch.column(c) for c in ("a", "b", "v", "bound", "x")), strict=True):
+                    x = np.frombuffer(x.as_buffer(), "<f4").reshape(-1, dims)
+                    near = x[x @ np.frombuffer(centre.as_buffer(), "<f4") >= bound.as_py()]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([a.as_py()] * len(near), pa.int64()), "b": pa.array([b.as_py()] * len(near), pa.int64()), "v": pa.array([v.tobytes() for v in near], pa.binary())})
+
+        large = self.parts.where(F.col("n") > STANDING).select("node", "x")
+        visitors = open_.where("bound is null").select("a", "b", "v").unionByName(open_.where("bound is not null").join(large.withColumnRenamed("node", "b"), "b").mapInArrow(visit, "a bigint, b bigint, v binary"))
+        visitors = cut(visitors)
+        tasks = visitors.groupBy("a").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("tasks"))
+        going = visitors.join(tasks, "a").withColumn("task", F.pmod(F.xxhash64("v"), F.col("tasks")).cast("int"))
+        hosts = large.join(tasks.withColumnRenamed("a", "node"), "node").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+
+        def verify(key: tuple, guests: pa.Table, host: pa.Table) -> pa.Table:
+            x, y = _vectors(guests.column("v"), dims), _vectors(host.column("x"), dims)
+            near = np.zeros(len(x), bool)
+            for at in range(0, len(x), _ROWS):
+                near[at : at + _ROWS] = (x[at : at + _ROWS] @ y.T >= least).any(1)
+            b = np.unique(np.asarray(guests.column("b"))[near])
+            return pa.table({"a": pa.array(np.full(len(b), key[0].as_py(), np.int64)), "b": pa.array(b, pa.int64())})
+
+        more = going.select("a", "task", "b", "v").groupBy("a", "task").cogroup(hosts.select(F.col("node").alias("a"), "task", "x").groupBy("a", "task")).applyInArrow(verify, "a bigint, b bigint")
+        # The links so far as stars, so that the second time there is little to join.
+        return cut(components(joined.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+
+    def _clustered(self) -> DataFrame:
+        """node, n, ids, x, root of the parts of clusters with enough members; packed single vectors are one row each."""
+        dims = self.dims
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, x in zip(batch.column("ids"), batch.column("x"), strict=True):
+                    ids, x = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(x.as_buffer(), "<f4").reshape(-1, dims)
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(ids), "n": pa.array(np.ones(len(ids), np.int64)), "ids": pa.array([i.tobytes() for i in ids[:, None]], pa.binary()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+
+        schema = "node bigint, n bigint, ids binary, x binary"
+        rows = self.parts.where("node is not null").unionByName(self.parts.where("node is null").mapInArrow(unpack, schema))
+        rooted = rows.join(self.root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        large = rooted.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") >= self.members)
+        return rooted.join(large, "root")
+
+    def found(self) -> DataFrame:
+        """The id and `cluster_id` (the cluster's smallest id) of every vector in a cluster."""
+
+        def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size = pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False) // 8
+                yield pa.RecordBatch.from_pydict({"id": pa.array(_ids(batch.column("ids"))), "cluster_id": pa.array(np.repeat(np.asarray(batch.column("root")), size))})
+
+        return self._clustered().select("ids", "root").mapInArrow(ids_of, "id bigint, cluster_id bigint").withColumnRenamed("id", self.row_id)
+
+    def described(self, typical: int = 5) -> DataFrame:
+        """For each cluster: cluster_id, `size`, and its `typical` members nearest to its mean direction as rows `place`, id, `cosine` (six decimals; of equals the smaller id first)."""
+        dims = self.dims
+        clustered = cut(self._clustered())
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    total = [np.frombuffer(x.as_buffer(), "<f4").reshape(-1, dims).sum(0, dtype=np.float64) for x in batch.column("x")]
+                    root = np.asarray(batch.column("root"))
+                    order = np.argsort(root, kind="stable")
+                    begin = np.flatnonzero(np.concatenate([[True], np.diff(root[order]) != 0]))
+                    yield pa.RecordBatch.from_pydict({"root": pa.array(root[order][begin]), "total": pa.array([t.tobytes() for t in np.add.reduceat(np.array(total)[order], begin)], pa.binary())})
+
+        def mean(rows: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(t.as_buffer()) for t in rows.column("total"))
+            centre = total / max(np.linalg.norm(total), 1e-30)
+            return pa.table({"root": rows.column("root")[:1], "centre": pa.array([centre.tobytes()], pa.binary())})
+
+        centres = clustered.select("root", "x").mapInArrow(sums, "root bigint, total binary").groupBy("root").applyInArrow(mean, "root bigint, centre binary")
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: dict[str, list] = {"cluster_id": [], "size": [], "id": [], "cosine": []}
+                for root, size, ids, x, centre in zip(*(batch.column(c) for c in ("root", "size", "ids", "x", "centre")), strict=True):
+                    ids, x = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(x.as_buffer(), "<f4").reshape(-1, dims)
+                    cosine = np.round(x.astype(np.float64) @ np.frombuffer(centre.as_buffer()), 6)
+                    top = np.lexsort((ids, -cosine))[:typical]
+                    for c, values in zip(out, ([root.as_py()] * len(top), [size.as_py()] * len(top), ids[top].tolist(), cosine[top].tolist()), strict=True):
+                        out[c] += values
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.float64() if c == "cosine" else pa.int64()) for c, v in out.items()})
+
+        near = clustered.select("root", "size", "ids", "x").join(centres, "root").mapInArrow(nearest, "cluster_id bigint, size bigint, id bigint, cosine double")
+        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), "id")))
+        return ranked.where(F.col("place") <= typical).select("cluster_id", "size", "place", F.col("id").alias(self.row_id), "cosine")
+
+
+def _meet(v: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, root: np.ndarray) -> np.ndarray:
+    """`root` after joining the parts (by code) of all linked pairs of a left and a right vector."""
+    for p in range(0, len(left), _ROWS):
+        for q in range(0, len(right), SIDE):
+            i, j = np.nonzero(v[left[p : p + _ROWS]] @ v[right[q : q + SIDE]].T >= least)
+            a, b = root[code[left[i + p]]], root[code[right[j + q]]]
+            apart = a != b
+            if apart.any():
+                pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
+                root = union(len(root), np.concatenate([np.arange(len(root)), pairs[0]]), np.concatenate([root, pairs[1]]))
+    return root

@@ -48,7 +48,11 @@ def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.linked_clusters(table(spark, folder, "fit_transformer_topics", spread=True))
+    return clusters.LinkedClusters(table(spark, folder, "fit_transformer_topics", spread=True)).found()
+
+
+def p7_described(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.LinkedClusters(table(spark, folder, "fit_transformer_topics", spread=True)).described()
 
 
 def p7_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +79,7 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.Truncation(table(spark, folder, "documents", spread=True)).by_source()
 
 
-QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p7_found, p7_clusters, p8_ids, p9_leaks, p9_found, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_terms, p1_found, p3_found, p3_groups, p5_pieces, p5_found, p6_found, p6_cleaned, p6_blocks, p7_found, p7_described, p7_clusters, p8_ids, p9_leaks, p9_found, p10_found, p10_sources)}
 
 _WHITE = "\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _TERMS = f"""

@@ -31,15 +31,15 @@ def brute(x, ids, least=0.8, members=5):
     return {(ids[i], ids[root[i]]) for i in range(len(ids)) if size[root[i]] >= members}
 
 
-@pytest.mark.parametrize(("block", "side"), [(5_000, 20_000), (100, 60)])
-def test_linked_clusters(frame, monkeypatch, block, side):
-    monkeypatch.setattr(clusters, "BLOCK", block)
-    monkeypatch.setattr(clusters, "SIDE", side)
+@pytest.mark.parametrize(("block", "side", "standing", "wide", "visitors"), [(5_000, 20_000, 16, 50_000, 50_000), (100, 60, 3, 50, 7), (50, 9, 2, 200, 50_000)])
+def test_linked_clusters(frame, monkeypatch, block, side, standing, wide, visitors):
+    for name, value in (("BLOCK", block), ("SIDE", side), ("STANDING", standing), ("WIDE", wide), ("VISITORS", visitors)):
+        monkeypatch.setattr(clusters, name, value)
     x = planted()
     ids = list(range(10, 10 + len(x)))
     bad = [(900, None), (901, []), (902, [1.0]), (903, [float("nan")] * 64), (904, [0.0] * 64), (None, [1.0] * 64), (905, [float("inf")] + [1.0] * 63)]
     df = frame([("", i, [float(v) for v in e] if e is not None else None, 0) for i, e in [*zip(ids, x.astype(np.float32)), *bad]], SCHEMA).repartition(3)
-    got = {tuple(r) for r in clusters.linked_clusters(df).collect()}
+    got = {tuple(r) for r in clusters.LinkedClusters(df).found().collect()}
     want = brute(x.astype(np.float32).astype(float), ids)
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
     assert got == want
@@ -52,24 +52,41 @@ def test_links_to_members_that_stand_for_nothing(frame, monkeypatch):
     x = np.array([unit[0], *arms, *unit[1:61]])
     monkeypatch.setattr(clusters, "BLOCK", 121)
     df = frame([("", i, [float(v) for v in e], 0) for i, e in enumerate(x)], SCHEMA).coalesce(1)
-    assert {tuple(r) for r in clusters.linked_clusters(df).collect()} == brute(x, list(range(len(x)))) == {(i, 0) for i in range(len(x))}
-
-
-@pytest.mark.parametrize("same", [True, False])
-def test_missing_links_are_those_of_all_pairs(monkeypatch, same):
-    monkeypatch.setattr(clusters, "LARGE", 8)
-    rng = np.random.default_rng(3)
-    x = planted(2, 300)
-    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-    node = np.where(rng.random(len(x)) < 0.7, np.arange(len(x)) % 6, np.arange(len(x)))
-    node[300:] = np.arange(300, len(x))
-    half = slice(None) if same else slice(0, 170)
-    rest = slice(None) if same else slice(170, None)
-    for least in (0.8, 0.95):
-        a, b = clusters._missing_links(node[half], x[half], node[rest], x[rest], least, x[:6], same)
-        i, j = np.nonzero(x[half] @ x[rest].T >= least)
-        got, want = graph.union(len(x), a, b), graph.union(len(x), node[half][i], node[rest][j])
-        assert got.tolist() == want.tolist()
+    assert {tuple(r) for r in clusters.LinkedClusters(df).found().collect()} == brute(x, list(range(len(x)))) == {(i, 0) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_across_parts(frame, monkeypatch, seed):
+    # Long thin clusters, linked at few places, in parts that are hardly represented by the vectors that stand for them.
+    for name, value in (("BLOCK", 64), ("SIDE", 40), ("STANDING", 2), ("LEAST_SIDES", 3)):
+        monkeypatch.setattr(clusters, name, value)
+    rng = np.random.default_rng(seed)
+    x = []
+    for _ in range(12):
+        q = np.linalg.qr(rng.normal(size=(64, 4)))[0]
+        for t in np.arange(0, rng.uniform(1, 6), 0.45 if rng.random() < 0.5 else 0.66):
+            x.append(np.cos(t) * q[:, 0] + np.sin(t) * q[:, 1] + 0.02 * rng.normal(size=64) @ q @ q.T)
+    x = np.array(x).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    df = frame([("", i, [float(v) for v in e], 0) for i, e in enumerate(x)], SCHEMA).repartition(4)
+    assert {tuple(r) for r in clusters.LinkedClusters(df).found().collect()} == brute(x.astype(float), list(range(len(x))))
+
+
+def test_described(frame):
+    x = planted(4, 120)
+    df = frame([("", i, [float(v) for v in e], 0) for i, e in enumerate(x)], SCHEMA)
+    model = clusters.LinkedClusters(df)
+    found = {r.chunk_id: r.cluster_id for r in model.found().collect()}
+    got = model.described(3).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for c in set(found.values()):
+        mine = sorted(i for i in found if found[i] == c)
+        mean = u[mine].mean(0)
+        cosine = u[mine] @ mean / np.linalg.norm(mean)
+        want |= {(c, len(mine), k + 1, mine[j]) for k, j in enumerate(np.argsort(-cosine.round(6), kind="stable")[:3])}
+    assert {(r.cluster_id, r["size"], r.place, r.chunk_id) for r in got} == want
+    assert clusters.LinkedClusters(frame([], SCHEMA)).described().count() == 0
 
 
 def test_kmeans_finds_planted_groups(frame):
@@ -87,12 +104,14 @@ def test_kmeans_finds_planted_groups(frame):
 
 
 def test_empty_and_text(frame):
-    assert clusters.linked_clusters(frame([], SCHEMA)).count() == 0
+    assert clusters.LinkedClusters(frame([], SCHEMA)).found().count() == 0
     df = frame([(i, "alpha beta gamma" if i < 6 else f"word{i} other{i}") for i in range(9)] + [(20, None), (21, "")], "chunk_id bigint, emb string")
-    assert {tuple(r) for r in clusters.linked_clusters(df).collect()} == {(i, 0) for i in range(6)}
+    assert {tuple(r) for r in clusters.LinkedClusters(df).found().collect()} == {(i, 0) for i in range(6)}
 
 
-def test_components(frame):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(frame, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     edges = frame([(i, i + 1) for i in range(30, 70)] + [(1, 2), (2, 1), (5, 5)], "a bigint, b bigint").repartition(5)
     got = {tuple(r) for r in graph.components(edges).collect()}
     assert got == {(i, 30) for i in range(30, 71)} | {(1, 1), (2, 1)}
