@@ -7,13 +7,13 @@ Shingles are dealt by hash into CLASSES classes. If |A and B| >= t |A or B|, the
 holds within at least one class, since both sides are sums over the classes. So each
 class is joined on its own, on small sets, and a pair that is alike in none is never met.
 
-Within a class a text's shingles are ordered rarest first. The order comes from a
-frequency sketch of bounded size over all texts; any order common to all texts keeps the
-filters exact, a good one keeps them narrow. A pair that is alike in a class of sizes
-a <= b shares at least (a+b) t/(1+t) shingles, so the first one it shares stands early in
-both (prefix and positional filter), sizes are close (length filter), and the bitmaps of
-all its shingles differ in few places (suffix filter). Pairs that pass are counted
-exactly within the class, and then verified once on the whole sets.
+Within a class a set's shingles are ordered rarest first. The order comes from a
+frequency sketch over all texts; any order common to all keeps the filters exact, a good
+one keeps them narrow. A pair that is alike in a class of sizes a <= b shares at least
+(a+b) t/(1+t) shingles, so the first one it shares stands early in both (prefix and
+positional filter), sizes are close (length filter), and the bitmaps of all its shingles
+differ in few places (suffix filter). Only prefixes are shuffled, to the part a shingle
+belongs to; whole sets only of pairs that pass, which are verified once.
 """
 
 from __future__ import annotations
@@ -31,17 +31,17 @@ from .batches import slices
 from .graph import components
 
 CLASSES = 16
-#: Texts up to which a class is one task; beyond, it is split by the shingle joined on, and a text goes to the parts its prefix falls into.
-PART_TEXTS = 250_000
-#: Cells of the frequency sketch: the broadcast is one byte each, whatever the data.
-CELL_BITS = 24
+#: Sets whose prefix shingles of one class are joined in one task; a class has as many parts as that asks for.
+PART_SETS = 500_000
+#: Sets with one shingle that are compared in one task; more are dealt into squares of as many.
+HOT = 20_000
+#: Bits of the cells of the frequency sketch, at least and at most: one byte a cell is broadcast.
+LEAST_BITS, MOST_BITS = 18, 26
 _RANGES = 16
 _LOW40 = np.uint64((1 << 40) - 1)
 _SLICE_ROWS = 4096
 #: Pairs looked at together within a task.
 _EVENTS = 200_000
-#: Texts whose bitmaps are made together.
-_BITMAPS = 20_000
 
 
 def shingle_sets(texts: pa.Array, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,14 +61,14 @@ def signature(offsets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(mix(np.add.reduceat(mix(tokens + np.uint64(c)), offsets[:-1]) + np.diff(offsets).astype(np.uint64)) if len(tokens) else np.zeros(0, np.uint64) for c in (1, 1 << 53))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, 1):
+def _parts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, column):
         for at in range(0, part.num_rows, _SLICE_ROWS):
             yield part.slice(at, _SLICE_ROWS)
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -76,66 +76,114 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(255, 128 + 8 * np.log2(np.maximum(counts, 128) / 128))).astype(np.uint8)
 
 
-def _five_bytes(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+#: The count behind each level.
+_COUNTS = np.array([*range(128), *(128 * 2 ** (i / 8) for i in range(128))]).round().astype(np.int64)
 
 
-def _from_five_bytes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned integers as compressed byte planes, each after its length and width."""
+    out = []
+    for c in columns:
+        out += [np.array([len(c), c.dtype.itemsize], "<u4").tobytes(), np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes()]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-class ClassTexts:
-    """The texts of one class, or of one part of it: ids, sizes of the whole set and of the class, and the shingles of the class that others may share, rarest first."""
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        n, width = np.frombuffer(raw, "<u4", 2, at).tolist()
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at + 8).reshape(width, n).T).view(f"<u{width}").ravel())
+        at += 8 + n * width
+    return out
 
-    def __init__(self, rows: list[dict]) -> None:
-        def whole(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
-        self.id, self.size, self.all, self.kept, sign = whole("id", "<i8"), whole("size", "<u4").astype(np.int64), whole("all", "<u4").astype(np.int64), whole("kept", "<u4").astype(np.int64), whole("sign", "<u8")
-        self.token = _from_five_bytes(b"".join(r["tokens"] for r in rows))
-        self.begin = np.cumsum(self.kept) - self.kept
-        order = np.argsort(self.id, kind="stable")  # of texts with equal sets the smallest id stands for all
-        self.stands = np.zeros(len(self.id), bool)
-        self.stands[order[np.unique(sign[order], return_index=True)[1]]] = True
+class Postings:
+    """What a slice of sets sends to the parts in which prefix shingles are joined.
 
-    def bitmaps(self) -> np.ndarray:
-        """256 bits for each text."""
-        out = np.zeros((len(self.id), 4), np.uint64)
-        for a in range(0, len(self.id), _BITMAPS):
-            n = self.kept[a : a + _BITMAPS]
-            of = a + np.repeat(np.arange(len(n)), n)
-            begin = self.begin[a]
-            place = mix(self.token[begin : begin + len(of)]) & np.uint64(255)
-            np.bitwise_or.at(out, (of, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
-        return out
+    A set is named by its signature, so equal sets are one. In each class its shingles are
+    ordered rarest first; those that no other set has are left out, and only the first ones
+    (the prefix) are sent, with the class's size, the number of its shingles that others
+    may have, a bitmap of 64 bits of those, and the size of the whole set.
+    """
 
-    def pairs(self, share: float, sub: int, subs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs that are alike within the class and meet at a shingle of part `sub`."""
+    def __init__(self, sign: np.ndarray, size: np.ndarray, tokens: np.ndarray, level_of: np.ndarray, bits: int, share: float) -> None:
+        of = np.repeat(np.arange(len(size)), size).astype(np.uint64)
+        cls = (tokens >> np.uint64(48)) & np.uint64(CLASSES - 1)
+        level = level_of[_cells(tokens, bits)]
+        key = np.sort((of << np.uint64(52)) | (cls << np.uint64(48)) | (level.astype(np.uint64) << np.uint64(40)) | (tokens & _LOW40))
+        group = (key >> np.uint64(48)).astype(np.int64)  # set and class
+        n_all = np.bincount(group, minlength=len(size) * CLASSES)
+        shared = ((key >> np.uint64(40)) & np.uint64(255)) > 1  # a cell counted once: no other set has it
+        n_kept = np.bincount(group[shared], minlength=len(n_all))
+        able = (n_kept >= np.ceil(share * n_all - 1e-9)) & (n_kept > 0)  # too few shared ones can't make a pair in this class
+        place = np.arange(len(key)) - np.repeat(np.cumsum(n_all) - n_all, n_all)
+        key, group, place = key[shared & able[group]], group[shared & able[group]], place[shared & able[group]]
+        token = mix(key & _LOW40)
+        bitmap = np.zeros(len(n_all), np.uint64)
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        if len(begin):
+            bitmap[group[begin]] = np.bitwise_or.reduceat(np.uint64(1) << (token & np.uint64(63)), begin)
+        early = place <= n_all[group] - np.ceil(share * n_all[group] - 1e-9)
+        token, group, place = token[early] >> np.uint64(6), group[early], place[early]
+        # A shingle that very many sets have is dealt into squares of blocks of them.
+        count = _COUNTS[((key[early] >> np.uint64(40)) & np.uint64(255)).astype(np.int64)]
+        blocks = np.maximum(1, -(-count // HOT))
+        hot = blocks > 1
+        if hot.any():
+            k = np.where(hot, blocks, 1)
+            many = np.repeat(np.arange(len(token)), k)
+            mine = (sign[group[many] // CLASSES] % k[many].astype(np.uint64)).astype(np.int64)
+            other = np.arange(len(many)) - np.repeat(np.cumsum(k) - k, k)
+            square = (np.minimum(mine, other) * 65_537 + np.maximum(mine, other)).astype(np.uint64)
+            token = np.where(hot[many], mix(token[many] + (square + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(6), token[many])
+            group, place = group[many], place[many]
+        self.token, self.group, self.place = token, group, place
+        self.sign, self.size, self.n_all, self.n_kept, self.bitmap = sign, size, n_all, n_kept, bitmap
+
+    def records(self, subs: int) -> Iterator[tuple[int, bytes]]:
+        """Part, and what is sent to it."""
+        part = (self.group % CLASSES) * subs + ((self.token >> np.uint64(32)) % np.uint64(subs)).astype(np.int64)
+        order = np.lexsort((self.group, part))
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+            g = self.group[rows]
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            head = g[begin]
+            doc = head // CLASSES
+            columns = [self.sign[doc], self.size[doc].astype("<u4"), self.n_all[head].astype("<u4"), self.n_kept[head].astype("<u4"), self.bitmap[head], np.diff(np.append(begin, len(g))).astype("<u4"), self.token[rows].astype("<u4"), self.place[rows].astype("<u4")]
+            # Signatures go with 40 bits: what they leave open costs a candidate.
+            columns[0] = (columns[0] & _LOW40).astype("<u8")
+            yield int(part[rows[0]]), _pack(*columns)
+
+
+class Part:
+    """The prefix shingles that meet in one task."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        sign, size, n_all, kept, bitmap, count, token, place = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
+        begin = np.cumsum(count.astype(np.int64)) - count
+        once = np.unique(sign, return_index=True)[1]  # equal sets have sent equal shingles
+        count = count[once].astype(np.int64)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[once], count)
+        self.sign, self.bitmap = sign[once], bitmap[once]
+        self.size, self.all, self.kept = (c[once].astype(np.int64) for c in (size, n_all, kept))
+        self.doc, self.token, self.place = np.repeat(np.arange(len(once)), count), token[at], place[at].astype(np.int64)
+
+    def pairs(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the pairs of sets that may be alike within the class: by prefix, length, position and bitmap."""
         ratio = share / (1 + share)
-        n, all_ = self.size, self.all
-        alone = all_ - self.kept  # those that no other text has come first
-        early = np.clip(all_ - np.ceil(share * all_ - 1e-9).astype(np.int64) + 1 - alone, 0, self.kept) * self.stands
-        doc = np.repeat(np.arange(len(self.id), dtype=np.int32), early)
-        within = (np.arange(len(doc)) - np.repeat(np.cumsum(early) - early, early)).astype(np.int32)
-        token = self.token[self.begin[doc] + within]
-        if subs > 1:
-            mine = (token >> np.uint64(36)).astype(np.int64) % subs == sub
-            token, doc, within = token[mine], doc[mine], within[mine]
-        order = np.lexsort((all_[doc], token))
-        token, doc = token[order], doc[order]
-        at = within[order] + alone[doc]
+        order = np.lexsort((self.all[self.doc], self.token))
+        token, doc, at = self.token[order], self.doc[order], self.place[order]
         if len(token) < 2:
-            return np.zeros((2, 0), np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         stop = np.repeat(edge[1:], np.diff(edge))
         # The smaller set of a pair shares at least ratio * 2 of itself.
-        first = np.flatnonzero((at <= all_[doc] - np.ceil(2 * ratio * all_[doc] - 1e-9)) & (stop - np.arange(len(token)) > 1))
+        first = np.flatnonzero((at <= self.all[doc] - np.ceil(2 * ratio * self.all[doc] - 1e-9)) & (stop - np.arange(len(token)) > 1))
         count = stop[first] - first - 1
-        bits = self.bitmaps()
-        found: list[np.ndarray] = []
         upto = np.cumsum(count)
+        found: list[np.ndarray] = []
         done = 0
         while done < len(first):
             to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + _EVENTS, "right")))
@@ -143,35 +191,17 @@ class ClassTexts:
             left = np.repeat(first[done:to], c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
             done = to
-            x, y = doc[left].astype(np.int64), doc[right].astype(np.int64)
-            need = np.ceil((all_[x] + all_[y]) * ratio - 1e-9)
-            ok = np.minimum(all_[x] - at[left], all_[y] - at[right]) >= need
-            ok &= np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y]) - 1e-9
+            x, y = doc[left], doc[right]
+            need = np.ceil((self.all[x] + self.all[y]) * ratio - 1e-9)
+            ok = np.minimum(self.all[x] - at[left], self.all[y] - at[right]) >= need
+            ok &= np.minimum(self.size[x], self.size[y]) >= share * np.maximum(self.size[x], self.size[y]) - 1e-9
             x, y, need = x[ok], y[ok], need[ok]
-            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-            ok = self.kept[x] + self.kept[y] - differ >= 2 * need
+            differ = np.bitwise_count(self.bitmap[x] ^ self.bitmap[y]).astype(np.int64)
+            ok = (self.kept[x] + self.kept[y] - differ >= 2 * need) & (x != y)
             x, y = x[ok], y[ok]
-            found.append(distinct(np.minimum(x, y) * len(n) + np.maximum(x, y)))
+            found.append(distinct(np.minimum(x, y) * len(self.sign) + np.maximum(x, y)))
         key = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        out = [self._alike(key[i : i + 50_000], ratio) for i in range(0, len(key), 50_000)]
-        return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-
-    def _alike(self, key: np.ndarray, ratio: float) -> np.ndarray:
-        """Of pairs of places those that share enough within the class."""
-        x, y = key // len(self.id), key % len(self.id)
-        need = np.ceil((self.all[x] + self.all[y]) * ratio - 1e-9)
-
-        def tokens(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            c = self.kept[doc]
-            pair = np.repeat(np.arange(len(doc)), c)
-            return pair, self.token[np.arange(len(pair)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(self.begin[doc], c)]
-
-        (px, tx), (py, ty) = tokens(x), tokens(y)
-        both = np.sort(np.concatenate([(px.astype(np.uint64) << np.uint64(40)) | tx, (py.astype(np.uint64) << np.uint64(40)) | ty]))
-        twice = both[1:][both[1:] == both[:-1]] >> np.uint64(40)
-        shared = np.bincount(twice.astype(np.int64), minlength=len(x))
-        ok = shared >= need
-        return np.stack([x[ok], y[ok]])
+        return self.sign[key // len(self.sign)], self.sign[key % len(self.sign)]
 
 
 class NearDuplicates:
@@ -181,6 +211,9 @@ class NearDuplicates:
     `least_words` words are left out. Words are runs of a-z and 0-9 after lowering A-Z.
     Equal ids are one row. Row ids must be bigint. An empty table gives no rows. Other
     columns play no part. Rows with equal shingle sets are joined as one and expanded last.
+
+    Texts are read three times with their words (signatures and sketch; prefixes; sets of
+    what may be alike), once for their length. The plan is the same at every size.
     """
 
     def __init__(self, df: DataFrame, row_id: str = "row_id", text: str = "Article", title: str | None = "Article_title", k: int = 3, share: float = 0.5, least_words: int = 40) -> None:
@@ -190,101 +223,86 @@ class NearDuplicates:
         self.rows = df.select(F.col(row_id).cast("bigint").alias("id"), whole.alias("text")).where("id is not null and text is not null")
         self._pairs: DataFrame | None = None
         self._copies: DataFrame | None = None
+        self._scan: DataFrame | None = None
+        self._bits = 0
 
-    def _sketch(self) -> tuple[bytes, int]:
-        """The level of every cell of the frequency sketch, and the number of rows."""
+    def _scanned(self) -> DataFrame:
+        """One pass: signatures (id, s, t) of all texts, and the tasks' frequency sketches (range, used, levels)."""
+        if self._scan is not None:
+            return self._scan
         k, least = self.k, self.least_words
-        width = (1 << CELL_BITS) // _RANGES
+        # About a shingle for six characters; the sketch has at least as many cells.
+        chars = self.rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        bits = self._bits = min(MOST_BITS, max(LEAST_BITS, int(chars // 6).bit_length()))
+        width = (1 << bits) // _RANGES
+        names = ["id", "s", "t", "range", "used", "levels"]
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros(1 << CELL_BITS, np.uint32)
-            n = 0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = np.zeros(1 << bits, np.uint32)
             for part in _parts(batches):
-                ids, _, tokens = shingle_sets(part.column(1), k, least)
-                n += len(ids)
-                np.add.at(cells, _cells(tokens), np.uint32(1))
-            small = np.minimum(cells, 255).astype(np.uint8)
-            pieces = [small[i * width : (i + 1) * width] for i in range(_RANGES)]
-            yield pa.RecordBatch.from_pydict({
-                "range": pa.array([*range(_RANGES), -1], pa.int32()),
-                "used": pa.array([*(np.packbits(p > 0).tobytes() for p in pieces), b""], pa.binary()),
-                "counts": pa.array([*(p[p > 0].tobytes() for p in pieces), np.int64(n).tobytes()], pa.binary()),
-            })
+                which, offsets, tokens = shingle_sets(part.column(1), k, least)
+                np.add.at(cells, _cells(tokens, bits), np.uint32(1))
+                s, t = signature(offsets, tokens)
+                n = len(which)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+            held = [(i, p) for i in range(_RANGES) if (p := cells[i * width : (i + 1) * width]).any()]
+            used = [np.packbits(p > 0).tobytes() for _, p in held]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(held), pa.int64()) for _ in range(3)), pa.array([i for i, _ in held], pa.int32()), pa.array(used, pa.binary()), pa.array([_levels(p[p > 0]).tobytes() for _, p in held], pa.binary())], names=names)
+
+        self._scan = cut(self.rows.mapInArrow(run, "id bigint, s bigint, t bigint, range int, used binary, levels binary"))
+        return self._scan
+
+    def _sketch(self) -> bytes:
+        """The level of every cell of the frequency sketch."""
+        scan = self._scanned().where("range is not null").select("range", "used", "levels")
+        width = (1 << self._bits) // _RANGES
 
         def total(of: pa.Table) -> pa.Table:
-            which = of.column("range")[0].as_py()
-            if which < 0:
-                out = np.int64(sum(np.frombuffer(c, np.int64)[0] for c in of.column("counts").to_pylist())).tobytes()
-            else:
-                sums = np.zeros(width, np.int64)
-                for used, counts in zip(of.column("used"), of.column("counts"), strict=True):
-                    sums[np.unpackbits(np.frombuffer(used.as_py(), np.uint8)).astype(bool)] += np.frombuffer(counts.as_py(), np.uint8)
-                out = _levels(sums).tobytes()
-            return pa.table({"range": pa.array([which], pa.int32()), "levels": pa.array([out], pa.binary())})
-
-        parts = self.rows.mapInArrow(count, "range int, used binary, counts binary").groupBy("range").applyInArrow(total, "range int, levels binary")
-        by = {r["range"]: bytes(r["levels"]) for r in parts.collect()}
-        blank = bytes(width)
-        return b"".join(by.get(i, blank) for i in range(_RANGES)), int(np.frombuffer(by.get(-1, bytes(8)), np.int64)[0])
+            sums = np.zeros(width, np.int64)
+            for used, levels in zip(of.column("used"), of.column("levels"), strict=True):
+                sums[np.unpackbits(np.frombuffer(used.as_py(), np.uint8)).astype(bool)] += _COUNTS[np.frombuffer(levels.as_py(), np.uint8)]
+            return pa.table({"range": of.column("range")[:1], "levels": pa.array([_levels(sums).tobytes()], pa.binary())})
+
+        by = {r["range"]: bytes(r["levels"]) for r in scan.groupBy("range").applyInArrow(total, "range int, levels binary").collect()}
+        return b"".join(by.get(i, bytes(width)) for i in range(_RANGES))
+
+    def _reps(self) -> DataFrame:
+        """s, t, rep of every distinct shingle set: rep is the smallest id with it, n the number of its rows."""
+        signed = self._scanned().where("range is null")
+        # Equal sets are combined before the shuffle.
+        return signed.groupBy("s", "t").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
 
     def candidates(self) -> DataFrame:
-        """Pairs (a < b) alike in at least one class, of rows that stand for all rows with their shingle set."""
+        """Pairs (a < b) that may be alike in at least one class, of rows that stand for all rows with their shingle set."""
         k, least, share = self.k, self.least_words, self.share
-        sketch, n = self._sketch()
-        subs = max(1, -(-n // PART_TEXTS))
+        sketch, bits = self._sketch(), self._bits
+        reps = cut(self._reps())
+        subs = max(1, -(-reps.count() // PART_SETS))
         levels_ = self.rows.sparkSession.sparkContext.broadcast(sketch)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             level_of = np.frombuffer(levels_.value, np.uint8)
-            for part in _parts(batches):
-                which, offsets, tokens = shingle_sets(part.column(1), k, least)
+            for part in _parts(batches, 0):
+                which, offsets, tokens = shingle_sets(part.column(0), k, least)
                 if not len(which):
                     continue
-                ids = np.asarray(part.column(0))[which]
-                size = np.diff(offsets)
                 sign, _ = signature(offsets, tokens)
-                of = np.repeat(np.arange(len(which)), size).astype(np.uint64)
-                key = np.sort((of << np.uint64(52)) | (((tokens >> np.uint64(48)) & np.uint64(CLASSES - 1)) << np.uint64(48)) | (level_of[_cells(tokens)].astype(np.uint64) << np.uint64(40)) | (tokens & _LOW40))
-                group = (key >> np.uint64(48)).astype(np.int64)  # text and class
-                n_all = np.bincount(group, minlength=len(which) * CLASSES)
-                shared = ((key >> np.uint64(40)) & np.uint64(255)) > 1  # a cell counted once: no other text has it
-                n_kept = np.bincount(group[shared], minlength=len(n_all))
-                able = (n_kept >= np.ceil(share * n_all - 1e-9)) & (n_kept > 0)  # too few shared ones can't make a pair in this class
-                key, group = key[shared & able[group]], group[shared & able[group]]
-                token = key & _LOW40
-                here = np.flatnonzero(able)
-                begin = np.searchsorted(group, here)
-                sub_of = (token >> np.uint64(36)).astype(np.int64) % subs
-                place = np.arange(len(token)) - np.repeat(begin, n_kept[here]) + np.repeat((n_all - n_kept)[here], n_kept[here])
-                early = place <= np.repeat(n_all[here] - np.ceil(share * n_all[here] - 1e-9), n_kept[here])
-                out: dict[str, list] = {c: [] for c in ("part", "id", "size", "all", "kept", "sign", "tokens")}
-                for c in range(CLASSES):
-                    mine = here % CLASSES == c
-                    for s in range(subs):
-                        take = mine
-                        if subs > 1:  # only where a shingle to be joined on falls into this part
-                            take = mine & (np.bincount(np.repeat(np.arange(len(here)), n_kept[here])[early & (sub_of == s)], minlength=len(here)) > 0)
-                        g = here[take]
-                        if not len(g):
-                            continue
-                        doc = g // CLASSES
-                        out["part"].append(c * subs + s)
-                        out["id"].append(ids[doc].astype("<i8").tobytes())
-                        out["size"].append(size[doc].astype("<u4").tobytes())
-                        out["all"].append(n_all[g].astype("<u4").tobytes())
-                        out["kept"].append(n_kept[g].astype("<u4").tobytes())
-                        out["sign"].append(sign[doc].astype("<u8").tobytes())
-                        out["tokens"].append(_five_bytes(token[np.repeat(take, n_kept[here])]))
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
+                size = np.diff(offsets)
+                once = np.unique(sign, return_index=True)[1]
+                taken = np.zeros(len(size), bool)
+                taken[once] = True
+                sent = list(Postings(sign[taken], size[taken], tokens[np.repeat(taken, size)], level_of, bits, share).records(subs))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in sent], pa.int32()), "packed": pa.array([x for _, x in sent], pa.binary())})
 
         def join(part: pa.Table) -> pa.Table:
-            texts = ClassTexts(part.to_pylist())
-            x, y = texts.pairs(share, part.column("part")[0].as_py() % subs, subs)
-            a, b = texts.id[x], texts.id[y]
-            return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            x, y = Part([p.as_buffer().to_pybytes() for p in part.column("packed")]).pairs(share)
+            return pa.table({"x": pa.array(np.minimum(x, y).astype(np.int64)), "y": pa.array(np.maximum(x, y).astype(np.int64))})
 
-        dealt = self.rows.mapInArrow(deal, "part int, id binary, size binary, all binary, kept binary, sign binary, tokens binary")
-        return dealt.repartition(CLASSES * subs, "part").groupBy("part").applyInArrow(join, "a bigint, b bigint").where("a < b").distinct()
+        dealt = self.rows.select("text").mapInArrow(deal, "part int, packed binary")
+        met = dealt.repartition(CLASSES * subs, "part").groupBy("part").applyInArrow(join, "x bigint, y bigint").distinct()
+        named = reps.select(F.col("s").bitwiseAND(F.lit((1 << 40) - 1)).alias("x"), F.col("rep"))
+        both = met.join(named.withColumnRenamed("rep", "p"), "x").join(named.select(F.col("x").alias("y"), F.col("rep").alias("q")), "y")
+        return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct()
 
     def pairs(self) -> DataFrame:
         """Verified pairs (a < b) with `shared` and `either`, of rows that stand for all rows with their shingle set."""
@@ -294,7 +312,7 @@ class NearDuplicates:
         met = cut(self.candidates())
         ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         # Texts that are in no candidate are left out by a bitmap of bounded size; a false hit costs one row.
-        bits = 1 << 24
+        bits = min(1 << 28, max(1 << 16, 1 << int(met.count() * 32).bit_length()))
         slot = F.pmod(F.xxhash64("id"), F.lit(bits))
         maps = ids.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(32768))).alias("bits")).collect()
         wanted = np.zeros(bits // 8, np.uint8)
@@ -332,23 +350,12 @@ class NearDuplicates:
 
     def copies(self) -> DataFrame:
         """(id, rep) of every row that takes part: rep is the smallest id with the same shingle set."""
-        if self._copies is not None:
-            return self._copies
-        k, least = self.k, self.least_words
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in _parts(batches):
-                which, offsets, tokens = shingle_sets(part.column(1), k, least)
-                s, t = signature(offsets, tokens)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(s.view(np.int64)), pa.array(t.view(np.int64))], names=["id", "s", "t"])
-
-        signed = self.rows.mapInArrow(run, "id bigint, s bigint, t bigint")
-        # Equal sets are combined before the shuffle; a group of a third of all rows meets one row for its signature.
-        least_id = signed.groupBy("s", "t").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-        many = least_id.where("n > 1").select("s", "t", "rep")
-        held = cut(signed.join(many, ["s", "t"], "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct())
-        self._copies = held
-        return held
+        if self._copies is None:
+            signed = self._scanned().where("range is null").select("id", "s", "t")
+            # A group of a third of all rows meets one row for its signature.
+            many = self._reps().where("n > 1").select("s", "t", "rep")
+            self._copies = cut(signed.join(many, ["s", "t"], "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct())
+        return self._copies
 
     def expanded(self) -> DataFrame:
         """Every pair of rows (a < b) that are alike, those with equal sets included."""

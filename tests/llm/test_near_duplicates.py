@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from newsloom.llm import near_duplicates
@@ -42,9 +43,10 @@ def make(seed, n=90):
     return rows + [(300 + j, rows[1][1], rows[1][2].upper()) for j in range(3)]
 
 
-@pytest.mark.parametrize(("seed", "part"), [(0, 1_000_000), (1, 20)])
-def test_against_brute_force(frame, monkeypatch, seed, part):
-    monkeypatch.setattr(near_duplicates, "PART_TEXTS", part)
+@pytest.mark.parametrize(("seed", "part", "hot"), [(0, 1_000_000, 20_000), (1, 20, 20_000), (2, 20, 7)])
+def test_against_brute_force(frame, monkeypatch, seed, part, hot):
+    monkeypatch.setattr(near_duplicates, "PART_SETS", part)
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
     monkeypatch.setattr(near_duplicates, "_EVENTS", 50)
     rows = make(seed)
     want, sets = brute(rows)
@@ -68,6 +70,32 @@ def test_five_word_shingles_at_four_fifths(frame):
     assert {tuple(r) for r in nd.expanded().collect()} == want
 
 
+def test_packed_columns():
+    columns = [np.arange(5, dtype="<u8") << np.uint64(33), np.zeros(0, "<u4"), np.array([7, 2**32 - 1], "<u4")]
+    for a, b in zip(columns, near_duplicates._unpack(near_duplicates._pack(*columns)), strict=True):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def test_prefixes_lose_no_pair_whatever_the_order():
+    rng = np.random.default_rng(0)
+    base = rng.integers(1, 1 << 52, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 120), replace=False), rng.integers(1, 1 << 52, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(80)]
+    sets += [np.unique(np.concatenate([s[: -rng.integers(1, 1 + len(s) // 2)], rng.integers(1, 1 << 52, rng.integers(0, 9), dtype=np.uint64)])) for s in sets[:60]]
+    sign = np.arange(1, 1 + len(sets), dtype=np.uint64)
+    size, tokens = np.array([len(s) for s in sets]), np.concatenate(sets)
+    want = {(i + 1, j + 1) for i, j in combinations(range(len(sets)), 2) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
+    assert len(want) > 30
+    bits = 18
+    level_of = near_duplicates._levels(np.bincount(near_duplicates._cells(tokens, bits), minlength=1 << bits))
+    for levels in (level_of, np.full(1 << bits, 9, np.uint8)):
+        for subs in (1, 7):
+            held = {}
+            for part, packed in near_duplicates.Postings(sign, size, tokens, levels, bits, 0.5).records(subs):
+                held.setdefault(part, []).append(packed)
+            met = {tuple(sorted(p)) for h in held.values() for p in zip(*(x.tolist() for x in near_duplicates.Part(h).pairs(0.5)))}
+            assert want <= met
+
+
 def test_empty_and_long(frame):
     assert near_duplicates.NearDuplicates(frame([], SCHEMA)).expanded().count() == 0
     long = " ".join(f"w{i}" for i in range(200_000))
