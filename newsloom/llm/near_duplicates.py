@@ -37,6 +37,8 @@ PART_SETS = 500_000
 HOT = 20_000
 #: Bits of the cells of the frequency sketch, at least and at most: one byte a cell is broadcast.
 LEAST_BITS, MOST_BITS = 18, 26
+#: 64-bit words of a set's bitmap in a class.
+BITMAP = 2
 _RANGES = 16
 _LOW40 = np.uint64((1 << 40) - 1)
 _SLICE_ROWS = 4096
@@ -105,7 +107,7 @@ class Postings:
     A set is named by its signature, so equal sets are one. In each class its shingles are
     ordered rarest first; those that no other set has are left out, and only the first ones
     (the prefix) are sent, with the class's size, the number of its shingles that others
-    may have, a bitmap of 64 bits of those, and the size of the whole set.
+    may have, a bitmap of those, and the size of the whole set.
     """
 
     def __init__(self, sign: np.ndarray, size: np.ndarray, tokens: np.ndarray, level_of: np.ndarray, bits: int, share: float) -> None:
@@ -121,12 +123,14 @@ class Postings:
         place = np.arange(len(key)) - np.repeat(np.cumsum(n_all) - n_all, n_all)
         key, group, place = key[shared & able[group]], group[shared & able[group]], place[shared & able[group]]
         token = mix(key & _LOW40)
-        bitmap = np.zeros(len(n_all), np.uint64)
+        bitmap = np.zeros((BITMAP, len(n_all)), np.uint64)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         if len(begin):
-            bitmap[group[begin]] = np.bitwise_or.reduceat(np.uint64(1) << (token & np.uint64(63)), begin)
+            word = (token >> np.uint64(6)) % np.uint64(BITMAP)
+            for w in range(BITMAP):
+                bitmap[w, group[begin]] = np.bitwise_or.reduceat(np.where(word == w, np.uint64(1) << (token & np.uint64(63)), np.uint64(0)), begin)
         early = place <= n_all[group] - np.ceil(share * n_all[group] - 1e-9)
-        token, group, place = token[early] >> np.uint64(6), group[early], place[early]
+        token, group, place = token[early] >> np.uint64(8), group[early], place[early]
         # A shingle that very many sets have is dealt into squares of blocks of them.
         count = _COUNTS[((key[early] >> np.uint64(40)) & np.uint64(255)).astype(np.int64)]
         blocks = np.maximum(1, -(-count // HOT))
@@ -137,7 +141,7 @@ class Postings:
             mine = (sign[group[many] // CLASSES] % k[many].astype(np.uint64)).astype(np.int64)
             other = np.arange(len(many)) - np.repeat(np.cumsum(k) - k, k)
             square = (np.minimum(mine, other) * 65_537 + np.maximum(mine, other)).astype(np.uint64)
-            token = np.where(hot[many], mix(token[many] + (square + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(6), token[many])
+            token = np.where(hot[many], mix(token[many] + (square + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8), token[many])
             group, place = group[many], place[many]
         self.token, self.group, self.place = token, group, place
         self.sign, self.size, self.n_all, self.n_kept, self.bitmap = sign, size, n_all, n_kept, bitmap
@@ -151,7 +155,7 @@ class Postings:
             begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             head = g[begin]
             doc = head // CLASSES
-            columns = [self.sign[doc], self.size[doc].astype("<u4"), self.n_all[head].astype("<u4"), self.n_kept[head].astype("<u4"), self.bitmap[head], np.diff(np.append(begin, len(g))).astype("<u4"), self.token[rows].astype("<u4"), self.place[rows].astype("<u4")]
+            columns = [self.sign[doc], self.size[doc].astype("<u4"), self.n_all[head].astype("<u4"), self.n_kept[head].astype("<u4"), np.diff(np.append(begin, len(g))).astype("<u4"), self.token[rows].astype("<u4"), self.place[rows].astype("<u4"), *(b[head] for b in self.bitmap)]
             # Signatures go with 40 bits: what they leave open costs a candidate.
             columns[0] = (columns[0] & _LOW40).astype("<u8")
             yield int(part[rows[0]]), _pack(*columns)
@@ -161,12 +165,12 @@ class Part:
     """The prefix shingles that meet in one task."""
 
     def __init__(self, packed: list[bytes]) -> None:
-        sign, size, n_all, kept, bitmap, count, token, place = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
+        sign, size, n_all, kept, count, token, place, *bitmap = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
         begin = np.cumsum(count.astype(np.int64)) - count
         once = np.unique(sign, return_index=True)[1]  # equal sets have sent equal shingles
         count = count[once].astype(np.int64)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[once], count)
-        self.sign, self.bitmap = sign[once], bitmap[once]
+        self.sign, self.bitmap = sign[once], [b[once] for b in bitmap]
         self.size, self.all, self.kept = (c[once].astype(np.int64) for c in (size, n_all, kept))
         self.doc, self.token, self.place = np.repeat(np.arange(len(once)), count), token[at], place[at].astype(np.int64)
 
@@ -196,7 +200,7 @@ class Part:
             ok = np.minimum(self.all[x] - at[left], self.all[y] - at[right]) >= need
             ok &= np.minimum(self.size[x], self.size[y]) >= share * np.maximum(self.size[x], self.size[y]) - 1e-9
             x, y, need = x[ok], y[ok], need[ok]
-            differ = np.bitwise_count(self.bitmap[x] ^ self.bitmap[y]).astype(np.int64)
+            differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bitmap)
             ok = (self.kept[x] + self.kept[y] - differ >= 2 * need) & (x != y)
             x, y = x[ok], y[ok]
             found.append(distinct(np.minimum(x, y) * len(self.sign) + np.maximum(x, y)))
@@ -328,7 +332,7 @@ class NearDuplicates:
                 if not part.num_rows:
                     continue
                 which, offsets, tokens = shingle_sets(part.column(1), k, least)
-                raw = [tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                raw = [_pack(np.diff(tokens[a:b], prepend=np.uint64(0))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(raw, pa.binary())], names=["id", "set"])
 
         texts = self.rows.select("id", "text", slot.alias("slot")).mapInArrow(sets, "id bigint, set binary").dropDuplicates(["id"])
@@ -337,7 +341,7 @@ class NearDuplicates:
             for batch in batches:
                 shared, either = [], []
                 for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    s, t = (np.cumsum(_unpack(v.as_buffer().to_pybytes())[0]) for v in (x, y))
                     both = np.sort(np.concatenate([s, t]))
                     shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
                     either.append(len(both) - shared[-1])
