@@ -145,6 +145,7 @@ class Postings:
             group, place = group[many], place[many]
         self.token, self.group, self.place = token, group, place
         self.sign, self.size, self.n_all, self.n_kept, self.bitmap = sign, size, n_all, n_kept, bitmap
+        self.classes = np.count_nonzero(n_all.reshape(-1, CLASSES), axis=1)  # those with any shingle
 
     def records(self, subs: int) -> Iterator[tuple[int, bytes]]:
         """Part, and what is sent to it."""
@@ -155,7 +156,7 @@ class Postings:
             begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             head = g[begin]
             doc = head // CLASSES
-            columns = [self.sign[doc], self.size[doc].astype("<u4"), self.n_all[head].astype("<u4"), self.n_kept[head].astype("<u4"), np.diff(np.append(begin, len(g))).astype("<u4"), self.token[rows].astype("<u4"), self.place[rows].astype("<u4"), *(b[head] for b in self.bitmap)]
+            columns = [self.sign[doc], self.size[doc].astype("<u4"), self.n_all[head].astype("<u4"), self.n_kept[head].astype("<u4"), self.classes[doc].astype("<u1"), np.diff(np.append(begin, len(g))).astype("<u4"), self.token[rows].astype("<u4"), self.place[rows].astype("<u4"), *(b[head] for b in self.bitmap)]
             # Signatures go with 40 bits: what they leave open costs a candidate.
             columns[0] = (columns[0] & _LOW40).astype("<u8")
             yield int(part[rows[0]]), _pack(*columns)
@@ -165,22 +166,25 @@ class Part:
     """The prefix shingles that meet in one task."""
 
     def __init__(self, packed: list[bytes]) -> None:
-        sign, size, n_all, kept, count, token, place, *bitmap = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
+        sign, size, n_all, kept, classes, count, token, place, *bitmap = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
         begin = np.cumsum(count.astype(np.int64)) - count
-        once = np.unique(sign, return_index=True)[1]  # equal sets have sent equal shingles
+        whole = sign
+        for b in bitmap:
+            whole = mix(whole + b)
+        once = np.unique(whole, return_index=True)[1]  # equal sets have sent equal shingles
         count = count[once].astype(np.int64)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[once], count)
         self.sign, self.bitmap = sign[once], [b[once] for b in bitmap]
-        self.size, self.all, self.kept = (c[once].astype(np.int64) for c in (size, n_all, kept))
+        self.size, self.all, self.kept, self.classes = (c[once].astype(np.int64) for c in (size, n_all, kept, classes))
         self.doc, self.token, self.place = np.repeat(np.arange(len(once)), count), token[at], place[at].astype(np.int64)
 
-    def pairs(self, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of the pairs of sets that may be alike within the class: by prefix, length, position and bitmap."""
+    def pairs(self, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of sets that may be alike within the class, by prefix, length, position and bitmap: their signatures, by how much they may share more than a pair that is just alike does, and the number of classes with shingles of one of them."""
         ratio = share / (1 + share)
         order = np.lexsort((self.all[self.doc], self.token))
         token, doc, at = self.token[order], self.doc[order], self.place[order]
         if len(token) < 2:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         stop = np.repeat(edge[1:], np.diff(edge))
         # The smaller set of a pair shares at least ratio * 2 of itself.
@@ -200,12 +204,22 @@ class Part:
             ok = np.minimum(self.all[x] - at[left], self.all[y] - at[right]) >= need
             ok &= np.minimum(self.size[x], self.size[y]) >= share * np.maximum(self.size[x], self.size[y]) - 1e-9
             x, y, need = x[ok], y[ok], need[ok]
-            differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bitmap)
-            ok = (self.kept[x] + self.kept[y] - differ >= 2 * need) & (x != y)
+            ok = (self.kept[x] + self.kept[y] - self._differ(x, y) >= 2 * need) & (x != y)
             x, y = x[ok], y[ok]
             found.append(distinct(np.minimum(x, y) * len(self.sign) + np.maximum(x, y)))
         key = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return self.sign[key // len(self.sign)], self.sign[key % len(self.sign)]
+        x, y = key // len(self.sign), key % len(self.sign)
+        most = np.minimum((self.kept[x] + self.kept[y] - self._differ(x, y)) / 2, np.minimum(self.kept[x], self.kept[y]))
+        return self.sign[x], self.sign[y], most - ratio * (self.all[x] + self.all[y]), np.maximum(self.classes[x], self.classes[y])
+
+    def _differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bitmap)
+
+
+def least_lack(share: float) -> float:
+    """By how much a pair that is not alike in a class shares less there than one that is just alike, at least."""
+    ratio = share / (1 + share)
+    return max(0.0, min(ratio * n - (np.ceil(ratio * n - 1e-9) - 1) for n in range(1, 1000)) - 1e-9)
 
 
 class NearDuplicates:
@@ -231,15 +245,15 @@ class NearDuplicates:
         self._bits = 0
 
     def _scanned(self) -> DataFrame:
-        """One pass: signatures (id, s, t) of all texts, and the tasks' frequency sketches (range, used, levels)."""
+        """One pass: signatures (id, s, t) of all texts, and the tasks' frequency sketches (range, cells)."""
         if self._scan is not None:
             return self._scan
         k, least = self.k, self.least_words
-        # About a shingle for six characters; the sketch has at least as many cells.
+        # About a shingle for six characters, and a cell for at most four.
         chars = self.rows.agg(F.sum(F.length("text"))).first()[0] or 0
-        bits = self._bits = min(MOST_BITS, max(LEAST_BITS, int(chars // 6).bit_length()))
+        bits = self._bits = min(MOST_BITS, max(LEAST_BITS, int(chars // 24).bit_length()))
         width = (1 << bits) // _RANGES
-        names = ["id", "s", "t", "range", "used", "levels"]
+        names = ["id", "s", "t", "range", "cells"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = np.zeros(1 << bits, np.uint32)
@@ -248,23 +262,24 @@ class NearDuplicates:
                 np.add.at(cells, _cells(tokens, bits), np.uint32(1))
                 s, t = signature(offsets, tokens)
                 n = len(which)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
             held = [(i, p) for i in range(_RANGES) if (p := cells[i * width : (i + 1) * width]).any()]
-            used = [np.packbits(p > 0).tobytes() for _, p in held]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(held), pa.int64()) for _ in range(3)), pa.array([i for i, _ in held], pa.int32()), pa.array(used, pa.binary()), pa.array([_levels(p[p > 0]).tobytes() for _, p in held], pa.binary())], names=names)
+            packed = [_pack(np.diff(np.flatnonzero(p), prepend=0).astype("<u4"), _levels(p[p > 0])) for _, p in held]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(held), pa.int64()) for _ in range(3)), pa.array([i for i, _ in held], pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-        self._scan = cut(self.rows.mapInArrow(run, "id bigint, s bigint, t bigint, range int, used binary, levels binary"))
+        self._scan = cut(self.rows.mapInArrow(run, "id bigint, s bigint, t bigint, range int, cells binary"))
         return self._scan
 
     def _sketch(self) -> bytes:
         """The level of every cell of the frequency sketch."""
-        scan = self._scanned().where("range is not null").select("range", "used", "levels")
+        scan = self._scanned().where("range is not null").select("range", "cells")
         width = (1 << self._bits) // _RANGES
 
         def total(of: pa.Table) -> pa.Table:
             sums = np.zeros(width, np.int64)
-            for used, levels in zip(of.column("used"), of.column("levels"), strict=True):
-                sums[np.unpackbits(np.frombuffer(used.as_py(), np.uint8)).astype(bool)] += _COUNTS[np.frombuffer(levels.as_py(), np.uint8)]
+            for packed in of.column("cells"):
+                gaps, levels = _unpack(packed.as_py())
+                sums[np.cumsum(gaps, dtype=np.int64)] += _COUNTS[levels]
             return pa.table({"range": of.column("range")[:1], "levels": pa.array([_levels(sums).tobytes()], pa.binary())})
 
         by = {r["range"]: bytes(r["levels"]) for r in scan.groupBy("range").applyInArrow(total, "range int, levels binary").collect()}
@@ -299,11 +314,15 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in sent], pa.int32()), "packed": pa.array([x for _, x in sent], pa.binary())})
 
         def join(part: pa.Table) -> pa.Table:
-            x, y = Part([p.as_buffer().to_pybytes() for p in part.column("packed")]).pairs(share)
-            return pa.table({"x": pa.array(np.minimum(x, y).astype(np.int64)), "y": pa.array(np.maximum(x, y).astype(np.int64))})
+            x, y, over, classes = Part([p.as_buffer().to_pybytes() for p in part.column("packed")]).pairs(share)
+            cls = part.column("part")[0].as_py() // subs
+            return pa.table({"x": pa.array(np.minimum(x, y).astype(np.int64)), "y": pa.array(np.maximum(x, y).astype(np.int64)), "cls": pa.array(np.full(len(x), cls, np.int32)), "over": pa.array(over.round(6)), "classes": pa.array(classes, pa.int32())})
 
         dealt = self.rows.select("text").mapInArrow(deal, "part int, packed binary")
-        met = dealt.repartition(CLASSES * subs, "part").groupBy("part").applyInArrow(join, "x bigint, y bigint").distinct()
+        met = dealt.repartition(CLASSES * subs, "part").groupBy("part").applyInArrow(join, "x bigint, y bigint, cls int, over double, classes int").distinct()
+        # Over all classes a pair shares as much as one that is just alike only if what it may share more where it was met makes up for what it lacks elsewhere.
+        lack = (F.min("classes") - F.count_distinct("cls")) * least_lack(share)
+        met = met.groupBy("x", "y").agg(F.sum("over").alias("over"), lack.alias("lack")).where(F.col("over") + 1e-4 >= F.col("lack")).select("x", "y")
         named = reps.select(F.col("s").bitwiseAND(F.lit((1 << 40) - 1)).alias("x"), F.col("rep"))
         both = met.join(named.withColumnRenamed("rep", "p"), "x").join(named.select(F.col("x").alias("y"), F.col("rep").alias("q")), "y")
         return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct()
