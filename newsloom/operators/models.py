@@ -17,12 +17,22 @@ from .topics import unit
 
 
 def kmeans(vectors: DataFrame, k: int, measure: str = "cosine", seed: int = 7, passes: int = 25) -> DataFrame:
-    """topic, size, centroid of k-means over (id, w, v): 'cosine' on unit vectors, or 'euclidean'; weighted; parallel oversampled seeding."""
+    """topic, size, weight, objective, centroid of k-means over (id, w, v): 'cosine' on unit vectors, or 'euclidean'; weighted; parallel oversampled seeding.
+
+    `size` counts members, `weight` adds up their weights, `objective` is their weighted
+    mean cosine with the centroid. Fewer vectors than clusters are an error.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
     rows = vectors.where("w is not null and w > 0").select("id", "w", array_to_vector(unit(F.col("v"))).alias("features"))
+    if rows.limit(k).count() < k:
+        raise ValueError("fewer vectors than clusters")
     model = KMeans(k=k, distanceMeasure=measure, seed=seed, maxIter=passes, weightCol="w", initMode="k-means||").fit(rows)
     centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "topic int, centroid array<double>")
-    sizes = model.transform(rows).groupBy(F.col("prediction").alias("topic")).agg(F.count("*").alias("size"))
-    return centres.join(sizes, "topic", "left").select("topic", F.coalesce("size", F.lit(0)).alias("size"), "centroid")
+    given = model.transform(rows).select(F.col("prediction").alias("topic"), "w", vector_to_array("features").alias("v"))
+    cosine = F.aggregate(F.zip_with("v", "centroid", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
+    sizes = given.join(F.broadcast(centres), "topic").groupBy("topic").agg(F.count("*").alias("size"), F.sum("w").alias("weight"), (F.sum(F.col("w") * cosine) / F.sum("w")).alias("objective"))
+    return centres.join(sizes, "topic", "left").select("topic", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "objective", "centroid")
 
 
 def lda(counts: DataFrame, terms: int, k: int, optimizer: str = "online", seed: int = 7, passes: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -16,10 +16,11 @@ def npmi(tops: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
     pairs = words.alias("a").join(words.alias("b"), (F.col("a.topic") == F.col("b.topic")) & (F.col("a.term_id") < F.col("b.term_id"))).select(F.col("a.topic").alias("topic"), F.col("a.term_id").alias("i"), F.col("b.term_id").alias("j"))
     present = counts.where("tf > 0").join(F.broadcast(words.select("term_id").distinct()), "term_id", "left_semi").select("row_id", "term_id")
     df = present.groupBy("term_id").agg(F.count("*").alias("df"))
-    wanted = F.broadcast(pairs.select("i", "j").distinct())
-    held = present.groupBy("row_id").agg(F.collect_set("term_id").alias("terms"))  # at most the terms in question
-    met = held.select(F.explode("terms").alias("i"), "terms").select("i", F.explode("terms").alias("j")).where("i < j").join(wanted, ["i", "j"], "left_semi").groupBy("i", "j").agg(F.count("*").alias("co"))
-    full = pairs.join(met, ["i", "j"], "left").join(df.select(F.col("term_id").alias("i"), F.col("df").alias("di")), "i", "left").join(df.select(F.col("term_id").alias("j"), F.col("df").alias("dj")), "j", "left")
+    # Terms of a document are paired within their topics only: at most the pairs asked for.
+    held = present.join(F.broadcast(words), "term_id").groupBy("row_id", "topic").agg(F.collect_set("term_id").alias("terms"))
+    within = held.select(F.explode("terms").alias("i"), "terms", "topic").select("topic", "i", F.explode("terms").alias("j")).where("i < j")
+    met = within.groupBy("topic", "i", "j").agg(F.count("*").alias("co"))
+    full = pairs.join(met, ["topic", "i", "j"], "left").join(df.select(F.col("term_id").alias("i"), F.col("df").alias("di")), "i", "left").join(df.select(F.col("term_id").alias("j"), F.col("df").alias("dj")), "j", "left")
     p = F.coalesce("co", F.lit(0)) / F.lit(float(n_docs)) + 1e-12
     pi, pj = (F.coalesce(c, F.lit(0)) / F.lit(float(n_docs)) + 1e-12 for c in ("di", "dj"))
     return full.select("topic", (F.ln(p / (pi * pj)) / -F.ln(p)).alias("v")).groupBy("topic").agg(F.avg("v").alias("npmi"))

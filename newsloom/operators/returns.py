@@ -68,6 +68,12 @@ def equal_weight(monthly_returns: DataFrame) -> DataFrame:
     return monthly_returns.groupBy("month").agg(F.avg("ret").alias("market"))
 
 
+def on_months(market: DataFrame, months: DataFrame, first_share: float = 0.6) -> DataFrame:
+    """The market on the months after the first share of them (months: one row each); null where it has no value."""
+    numbered = months.select("month", (F.row_number().over(Window.orderBy("month")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    return numbered.where(F.col("at") >= F.floor(F.lit(first_share) * F.col("n"))).select("month").join(market, "month", "left")
+
+
 def sharpe(series: DataFrame, value: str, periods: int = 12) -> DataFrame:
     """Mean over sample deviation, by the square root of the periods of a year."""
     return series.agg((F.avg(value) / F.stddev_samp(value) * F.sqrt(F.lit(float(periods)))).alias("sharpe"))

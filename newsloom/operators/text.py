@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words left out when a vocabulary is learned.
-STOP_WORDS = (
-    "about", "above", "after", "again", "all", "also", "and", "any", "are", "because", "been", "before", "being", "below", "between", "both", "but", "can", "cannot", "could", "did", "does", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "her", "here", "hers", "him", "his", "how", "into", "its", "more", "most", "nor", "not", "now", "off", "once", "only", "other", "our", "out", "over", "own", "same", "she", "should", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "too", "under", "until", "very", "was", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
-    "said", "says", "mr", "ms", "inc", "corp", "co", "ltd", "llc", "company", "companies", "share", "shares", "stock", "stocks", "percent", "pct", "quarter", "year", "week", "month", "reuters", "nasdaq", "views", "opinions", "author", "herein", "com", "www", "http", "https", "zacks", "motley", "fool", "benzinga",
-)
+# Words left out when a vocabulary is learned, in families and one by one; words of one or two letters are never tokens.
+_HERE = [f"{a}{b}" for a in ("here", "there", "where") for b in ("", "after", "by", "in", "upon")] + ["therefore", "whereas", "wherever", "thence", "whence", "hence", "thereby"]
+_SOME = [f"{a}{b}" for a in ("any", "every", "some", "no") for b in ("one", "thing", "where")] + ["anyhow", "anyway", "somehow", "nobody", "noone", "none"]
+_SELF = ["myself", "yourself", "himself", "herself", "itself", "ourselves", "yourselves", "themselves"]
+_PRONOUNS = ["him", "his", "she", "her", "hers", "its", "our", "ours", "you", "your", "yours", "they", "them", "their", "mine", "who", "whom", "whose", "whoever", "what", "whatever", "which", "this", "that", "these", "those", "others", "other", "another", "each", "either", "neither", "both", "such", "same", "own"]
+_NUMBERS = ["one", "two", "three", "four", "five", "six", "eight", "nine", "ten", "eleven", "twelve", "fifteen", "twenty", "forty", "fifty", "sixty", "hundred", "first", "third", "once"]
+_VERBS = ["are", "was", "were", "been", "being", "has", "had", "have", "hasnt", "can", "cannot", "cant", "could", "couldnt", "may", "might", "must", "should", "will", "would", "became", "become", "becomes", "becoming", "seem", "seemed", "seeming", "seems", "call", "cry", "describe", "detail", "done", "fill", "find", "found", "get", "give", "keep", "made", "move", "name", "namely", "put", "see", "serious", "show", "take", "please", "interest", "sincere"]
+_PLACES = ["about", "above", "across", "after", "afterwards", "against", "along", "among", "amongst", "amoungst", "around", "before", "beforehand", "behind", "below", "beside", "besides", "between", "beyond", "down", "during", "for", "from", "into", "off", "onto", "out", "over", "per", "since", "than", "through", "throughout", "thru", "toward", "towards", "under", "until", "upon", "via", "with", "within", "without", "bottom", "top", "side", "front", "back", "amount", "part", "mill", "bill", "fire", "system", "con", "due", "etc", "inc", "ltd"]
+_OTHERS = ["again", "all", "almost", "alone", "already", "also", "although", "always", "and", "because", "but", "else", "elsewhere", "empty", "enough", "even", "ever", "except", "few", "former", "formerly", "full", "further", "how", "however", "indeed", "last", "latter", "latterly", "least", "less", "many", "meanwhile", "more", "moreover", "most", "mostly", "much", "never", "nevertheless", "next", "nor", "not", "now", "often", "only", "otherwise", "perhaps", "rather", "several", "sometime", "sometimes", "still", "the", "then", "thick", "thin", "though", "thus", "together", "too", "very", "well", "when", "whenever", "whether", "while", "whither", "whole", "why", "yet", "any", "every", "some"]
+_NEWS = ["said", "says", "corp", "llc", "company", "companies", "share", "shares", "stock", "stocks", "percent", "pct", "quarter", "year", "week", "month", "reuters", "nasdaq", "views", "opinions", "author", "herein", "com", "www", "http", "https", "zacks", "motley", "fool", "benzinga"]
+STOP_WORDS = tuple(sorted({*_HERE, *_SOME, *_SELF, *_PRONOUNS, *_NUMBERS, *_VERBS, *_PLACES, *_OTHERS, *_NEWS}))
 #: White space as Unicode has it; Java's \s is ASCII only.
 WHITE = "\\t-\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 

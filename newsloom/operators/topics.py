@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -48,10 +50,25 @@ def mean_centroids(df: DataFrame, vector: str, label: str, dims: int = 64) -> Da
     return rows.mapInArrow(partial, schema).groupBy("topic").applyInArrow(mean, "topic int, centroid array<double>")
 
 
+def checked_centroids(topics: Sequence[int], rows: Sequence[Sequence[float]], dims: int | None = None) -> np.ndarray:
+    """Unit centroids, also ones made before: of equal length, finite and not zero."""
+    sizes = {len(r) for r in rows}
+    if not rows or len(sizes) != 1 or dims not in (None, *sizes):
+        raise ValueError(f"centroids must have one length ({dims or 'any'}), got {sorted(sizes)}")
+    if len(set(topics)) != len(topics):
+        raise ValueError("a topic has two centroids")
+    x = np.array(rows, float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    if not np.isfinite(norm).all() or (norm == 0).any():
+        raise ValueError("centroids must be finite and not zero")
+    return x / norm
+
+
 def _matrix(centroids: DataFrame) -> tuple[list[int], np.ndarray]:
     """Topics and their centroids, in order; topics x dims numbers, whatever the data."""
     rows = centroids.orderBy("topic").collect()
-    return [r.topic for r in rows], np.array([r.centroid for r in rows])
+    topics = [r.topic for r in rows]
+    return topics, checked_centroids(topics, [r.centroid for r in rows])
 
 
 def _cosines(batch: pa.RecordBatch, centres: np.ndarray) -> np.ndarray:
@@ -93,6 +110,8 @@ def hard_topic(theta: DataFrame) -> DataFrame:
 
 def sparsify(theta: DataFrame, keep: int = 2, power: float = 2.0, confidence_power: float = 1.0, quantile: float = 0.5) -> DataFrame:
     """doc, topic, weight: the `keep` largest shares to `power`, normalised, times the margin between the first two to `confidence_power`; documents whose margin is below the quantile get 0."""
+    if keep < 1 or power <= 0 or confidence_power < 0 or not 0 <= quantile <= 1:
+        raise ValueError("keep and power must be positive, confidence_power not negative, quantile within [0, 1]")
     by = Window.partitionBy("doc")
     ranked = theta.withColumn("place", F.row_number().over(by.orderBy(F.desc("theta"), "topic")))
     top = F.when(F.col("place") <= keep, F.pow("theta", F.lit(power))).otherwise(0.0)
@@ -103,12 +122,21 @@ def sparsify(theta: DataFrame, keep: int = 2, power: float = 2.0, confidence_pow
     return joined.select("doc", "topic", F.when(F.col("margin") >= F.col("cutoff"), F.col("share") * F.pow("margin", F.lit(confidence_power))).otherwise(0.0).alias("weight"))
 
 
+def _none_negative(df: DataFrame, value: str) -> DataFrame:
+    """The same rows; a negative or NaN value fails the query when it is met."""
+    good = F.assert_true((F.col(value) >= 0) & ~F.isnan(value), F.lit(f"{value} must not be negative"))
+    return df.withColumn(value, F.when(good.isNull(), F.col(value)))
+
+
 def ctfidf(counts: DataFrame, members: DataFrame, terms: DataFrame, topics: Sequence[int], smooth: float = 1.0, sublinear: bool = False) -> DataFrame:
     """topic, term_id, p: class-based tf-idf, every topic a distribution over the whole vocabulary.
 
     counts: row_id, term_id, tf; members: doc, topic, weight. The weights of a document lie
     in one row, so the join with the counts does not grow by the number of topics.
     """
+    if smooth <= 0:
+        raise ValueError("smooth must be positive")
+    members = _none_negative(members, "weight")
     wide = members.groupBy("doc").pivot("topic", list(topics)).agg(F.sum("weight"))
     weights = wide.select(F.col("doc").alias("row_id"), *(F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"w{i}") for i, t in enumerate(topics)))
     g = 1.0 + F.ln("tf") if sublinear else F.col("tf").cast("double")
@@ -166,3 +194,35 @@ def contract(theta: DataFrame, phi: DataFrame, tolerance: float = 1e-4) -> DataF
         return off.agg(F.count("*").alias("broken")).select(F.lit(name).alias("check"), "broken")
 
     return negative.unionByName(sums(theta, "date", "theta", "theta_simplex")).unionByName(sums(phi, "topic", "p", "phi_simplex"))
+
+
+WEIGHTINGS = ("soft", "hard", "sparse")
+
+
+def fit_topics(passages: DataFrame, docs: DataFrame, counts: DataFrame, vocab: DataFrame, centroids: DataFrame, weighting: str = "soft", temperature: float = 0.07, sublinear: bool = False, meta: dict | None = None) -> dict:
+    """Everything the topic layer makes of passage vectors and term counts, in one call.
+
+    passages: id, doc, w, v; docs: doc, date, n_tokens; counts: row_id, term_id, tf; vocab:
+    term_id, term; centroids: topic, centroid (new or made before). Gives the tables
+    `theta` (documents), `attention` (days), `phi`, `tops`, `labels`, the rows of broken
+    rules `contract`, and `meta`: what it was made with, and for sparse weights the share
+    of documents that keep any.
+    """
+    if weighting not in WEIGHTINGS:
+        raise ValueError(f"weighting must be one of {WEIGHTINGS}")
+    names = [r.topic for r in centroids.select("topic").distinct().orderBy("topic").collect()]
+    theta = cut(document_weights(docs, soft_assign(passages.where("doc is not null and w is not null"), centroids, temperature), names))
+    rounded = theta.withColumn("theta", F.round("theta", 9))
+    said = {"topics": len(names), "temperature": temperature, "weighting": weighting, "sublinear": sublinear, **(meta or {})}
+    if weighting == "soft":
+        members = theta.withColumnRenamed("theta", "weight")
+    elif weighting == "hard":
+        members = hard_topic(rounded).withColumn("weight", F.lit(1.0))
+    else:
+        members = cut(sparsify(rounded))
+        kept = members.groupBy("doc").agg(F.max("weight").alias("w")).agg(F.avg((F.col("w") > 0).cast("double")).alias("share")).first()
+        said["documents_kept"] = kept.share
+    phi = cut(ctfidf(counts, members, vocab, names, sublinear=sublinear))
+    attention = daily_attention(theta, docs)
+    tops = top_terms(phi, vocab)
+    return {"theta": theta, "attention": attention, "phi": phi, "tops": tops, "labels": labels(tops), "contract": contract(attention, phi), "meta": said}

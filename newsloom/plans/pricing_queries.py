@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ipca, returns
+from ..operators import ipca, reports, returns
 from ..session import cut, table
 
 HALFLIVES = (20, 60, 120)
@@ -157,6 +157,47 @@ def oos_portfolio(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(ipca.out_of_sample(_moments(spark, folder)), "month string, mve_oos double")
 
 
+def _grouped(spark: SparkSession, folder: str) -> tuple[ipca.Moments, list]:
+    m = _moments(spark, folder, HALFLIVES)
+    return m, ipca.row_groups(m.G.shape[1] - 1, len(HALFLIVES))
+
+
+def oos_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-sample returns of the model over all horizons; a topic's rows enter and leave together. Eight penalties, as in the reference."""
+    m, groups = _grouped(spark, folder)
+    return spark.createDataFrame(ipca.out_of_sample(m, groups=groups, n_lams=8), "month string, mve_oos double")
+
+
+def oos_refits(spark: SparkSession, folder: str) -> DataFrame:
+    """Diagnostics of the refits of `oos_grouped` with a fixed penalty."""
+    m, groups = _grouped(spark, folder)
+    refits: list[dict] = []
+    ipca.out_of_sample(m, groups=groups, lam=1e-6, refits=refits)
+    return spark.createDataFrame([(r["month"], r["lam"], r["active"], r["is_sharpe"]) for r in refits], "month string, lam double, active int, is_sharpe double")
+
+
+def selection_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    m, groups = _grouped(spark, folder)
+    names = sorted(r.topic for r in table(spark, folder, "orders").select(F.col("o_orderpriority").alias("topic")).distinct().collect())
+    return spark.createDataFrame([(i, names[i], x) for i, x in ipca.selection(ipca.fit(m, k=3, lam=1e-6, groups=groups))], "topic int, label string, group_norm double")
+
+
+def market_oos(spark: SparkSession, folder: str) -> DataFrame:
+    """The equal-weight market on the out-of-sample months of the panel; null where it has none."""
+    months = _instruments(spark, folder).select("month").distinct()
+    return returns.on_months(returns.equal_weight(_monthly(spark, folder)), months, 0.6).select("month", F.round("market", 9).alias("market"))
+
+
+def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly Sharpe ratio of the out-of-sample returns of both models with a fixed penalty, and their months."""
+
+    def one(m: ipca.Moments, groups: list | None) -> DataFrame:
+        series = spark.createDataFrame(ipca.out_of_sample(m, groups=groups, lam=1e-6), "month string, value double")
+        return returns.sharpe(series, "value").crossJoin(series.agg(F.count("*").alias("months")))  # one row each
+
+    return reports.pricing_summary({"single": one(_moments(spark, folder), None), "grouped": one(*_grouped(spark, folder))})
+
+
 def selection_report(spark: SparkSession, folder: str) -> DataFrame:
     names = sorted(r.topic for r in table(spark, folder, "orders").select(F.col("o_orderpriority").alias("topic")).distinct().collect())
     return spark.createDataFrame([(i, names[i], x) for i, x in ipca.selection(ipca.fit(_moments(spark, folder), k=3, lam=1e-6))], "topic int, label string, row_norm double")
@@ -166,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         shocks, asof_trading_day, month_starts, validity_join, universe_topn, universe_days, excess_returns, returns_pivot_mean, monthly_returns, monthly_excess, ew_market, sharpe,
-        ewma_cov, ewma_cov_multi, ewma_cov_nulls, panel, panel_gram, ipca_fit, ipca_grouped, lambda_path, oos_portfolio, selection_report,
+        ewma_cov, ewma_cov_multi, ewma_cov_nulls, panel, panel_gram, ipca_fit, ipca_grouped, lambda_path, oos_portfolio, oos_grouped, oos_refits, selection_report, selection_grouped, market_oos, pricing_summary,
     )
 }
 
@@ -231,6 +272,8 @@ win as (select month, date, start - 1 - pos as back from starts join cal on pos
 rows_ as (select month, id, topic, ret, z, pow(0.5e0, back / 60e0) as w from win join holed using (date) join z using (date) where ret is not null)
 select month, id, topic, round((sum(w * ret * z) / sum(w) - sum(w * ret) / sum(w) * sum(w * z) / sum(w)) * 1e6, 6) + 0e0 as cov_ppm from rows_ group by month, id, topic having count(*) >= 100""",
     "panel": f"with {_PANEL} select cast(m_id as int) as m_id, month, id, topic, round(x, 6) + 0e0 as x, round(y, 9) as y from scaled",
+    "market_oos": f"""with {_PANEL}, later as (select month from months where m_id >= floor(0.6e0 * (select count(*) from months)))
+select month, round(avg(y), 9) as market from later left join monthly using (month) group by month""",
     "panel_gram": f"""with {_PANEL},
 cells as (
   select m_id, month, id, cast(dense_rank() over (order by topic) as int) as i, x as v from scaled

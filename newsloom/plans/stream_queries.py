@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import attention
 
 
@@ -24,8 +23,7 @@ def daily_events(spark: SparkSession, folder: str) -> DataFrame:
     name = f"daily_{uuid.uuid4().hex}"
     # The sink in memory holds one row for each day and type.
     run = attention.daily(_events(stream), "ts", "event_type", "value").writeStream.outputMode("complete").format("memory").queryName(name)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-")
-    query = run.option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    query = run.option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select("date", "topic", F.round("weight", 6).alias("weight"), "n")
 

@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models, quality, text, topics
-from ..session import cut, table
+from ..operators import models, quality, reports, text, topics
+from ..session import cut, stamp, table
 from . import corpus_queries as c
 
 TOPICS = tuple(range(10))
@@ -31,7 +31,7 @@ def theta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class Base:
-    """What a query needs of texts and passages, each part made once and cut."""
+    """What queries need of texts and passages, each part made once and cut."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -54,7 +54,7 @@ class Base:
         return topics.hard_topic(_rounded(self.theta)).withColumn("weight", F.lit(1.0))
 
     def phi(self, how: str = "hard") -> DataFrame:
-        members = self.theta.withColumnRenamed("theta", "weight") if how == "soft" else self.hard
+        members = self.theta.withColumnRenamed("theta", "weight") if how == "soft" else topics.sparsify(_rounded(self.theta)) if how == "sparse" else self.hard
         return topics.ctfidf(self.counts, members, self.vocab, TOPICS, sublinear=how == "sublinear")
 
     def attention(self, how: str = "soft") -> DataFrame:
@@ -65,8 +65,21 @@ class Base:
         totals = text.token_totals(self.articles, self.counts).withColumnRenamed("row_id", "doc")
         return topics.daily_attention(weights, self.articles.select(F.col("row_id").alias("doc"), "date").join(totals, "doc"))
 
-    def tops(self, n: int = 10) -> DataFrame:
-        return topics.top_terms(self.phi(), self.vocab, n)
+    def tops(self, n: int = 10, how: str = "hard") -> DataFrame:
+        return topics.top_terms(self.phi(how), self.vocab, n)
+
+
+_TABLES = ("download_fnspid", "fit_transformer_topics", "embeddings")
+_bases: dict[tuple, Base] = {}
+
+
+def base_of(spark: SparkSession, folder: str) -> Base:
+    """The parts made for a folder in this session, as long as its files stay the same; those of one folder are kept."""
+    key = (spark.sparkContext.applicationId, folder, tuple(stamp(table(spark, folder, name)) for name in _TABLES))
+    if key not in _bases:
+        _bases.clear()
+        _bases[key] = Base(spark, folder)
+    return _bases[key]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -82,7 +95,7 @@ def doc_topic_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hard_topic(spark: SparkSession, folder: str) -> DataFrame:
-    return Base(spark, folder).hard.select("doc", "topic")
+    return base_of(spark, folder).hard.select("doc", "topic")
 
 
 def sparsify(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,22 +104,22 @@ def sparsify(spark: SparkSession, folder: str) -> DataFrame:
 
 def _phi(how: str):  # noqa: ANN202
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return Base(spark, folder).phi(how).select("topic", "term_id", F.round("p", 8).alias("p"))
+        return base_of(spark, folder).phi(how).select("topic", "term_id", F.round("p", 8).alias("p"))
 
     query.__name__ = f"ctfidf_{how}"
     return query
 
 
 def daily_attention(spark: SparkSession, folder: str) -> DataFrame:
-    return Base(spark, folder).attention().select("date", "topic", F.round("theta", 6).alias("theta"))
+    return base_of(spark, folder).attention().select("date", "topic", F.round("theta", 6).alias("theta"))
 
 
 def top_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return Base(spark, folder).tops().select("topic", "place", "term", F.round("p", 8).alias("p"))
+    return base_of(spark, folder).tops().select("topic", "place", "term", F.round("p", 8).alias("p"))
 
 
 def topic_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return topics.labels(Base(spark, folder).tops(3))
+    return topics.labels(base_of(spark, folder).tops(3))
 
 
 def representative_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,39 +127,61 @@ def representative_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def npmi(spark: SparkSession, folder: str) -> DataFrame:
-    base = Base(spark, folder)
+    base = base_of(spark, folder)
     return quality.npmi(cut(base.tops()), base.counts, base.articles.count()).select("topic", F.round("npmi", 6).alias("npmi"))
 
 
 def diversity(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.diversity(Base(spark, folder).tops()).select(F.round("diversity", 6).alias("diversity"))
+    return quality.diversity(base_of(spark, folder).tops()).select(F.round("diversity", 6).alias("diversity"))
 
 
 def topic_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    base = Base(spark, folder)
+    base = base_of(spark, folder)
     return quality.cosines(base.phi(), base.phi("soft")).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def topic_matching(spark: SparkSession, folder: str) -> DataFrame:
-    base = Base(spark, folder)
+    base = base_of(spark, folder)
     return quality.matching(quality.cosines(base.phi(), base.phi("soft")))
 
 
 def attention_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    base = Base(spark, folder)
+    base = base_of(spark, folder)
     both = quality.agreement(base.attention(), base.attention("hard"))
     return both.select("topic", "n", *(F.round(x, 6).alias(x) for x in ("max_gap", "mean_gap", "r")))
 
 
 def contract_check(spark: SparkSession, folder: str) -> DataFrame:
-    base = Base(spark, folder)
+    base = base_of(spark, folder)
     return topics.contract(base.attention(), base.phi())
 
 
 def sweep_summary(spark: SparkSession, folder: str) -> DataFrame:
-    base = Base(spark, folder)
-    scores = base.phi().select(F.lit("hard").alias("arm"), F.col("p").alias("score")).unionByName(base.phi("soft").select(F.lit("soft").alias("arm"), F.col("p").alias("score")))
-    return quality.summary(scores, "arm", "score").orderBy("arm").select("arm", "n", *(F.round(x, 9).alias(x) for x in ("mean", "median", "sd")))
+    """Coherence of the topics of each arm, and the diversity of their terms."""
+    base, n, out = base_of(spark, folder), None, None
+    n = base.articles.count()
+    for arm in ("hard", "soft", "sparse"):
+        tops = cut(base.tops(how=arm))
+        scores = quality.npmi(tops, base.counts, n).select(F.lit(arm).alias("arm"), F.round("npmi", 9).alias("npmi"))
+        one = quality.summary(scores, "arm", "npmi").crossJoin(quality.diversity(tops))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.select("arm", "n", *(F.round(x, 6).alias(x) for x in ("mean", "median", "sd", "diversity")))
+
+
+def comparison_report(spark: SparkSession, folder: str) -> DataFrame:
+    base = base_of(spark, folder)
+    phi = cut(base.phi()), cut(base.phi("soft"))
+    attention = cut(base.attention("hard")), cut(base.attention())
+    report = reports.comparison(phi, tuple(topics.top_terms(p, base.vocab) for p in phi), attention)
+    return report.select("measure", *(F.round(c, 6).alias(c) for c in ("baseline", "candidate", "mean", "median", "least")))
+
+
+def topic_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the whole fit with sparse weights, in one call."""
+    base = base_of(spark, folder)
+    totals = text.token_totals(base.articles, base.counts).withColumnRenamed("row_id", "doc")
+    docs = cut(base.articles.select(F.col("row_id").alias("doc"), "date").join(totals, "doc"))
+    return topics.fit_topics(vectors(spark, folder), docs, base.counts, base.vocab, centroids(spark, folder), "sparse")["labels"]
 
 
 def kmeans_spherical(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,11 +193,11 @@ def kmeans_euclid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lda_online(spark: SparkSession, folder: str) -> DataFrame:
-    return models.lda(Base(spark, folder).counts, c.VOCABULARY, 8, "online")[1]
+    return models.lda(base_of(spark, folder).counts, c.VOCABULARY, 8, "online")[1]
 
 
 def lda_em(spark: SparkSession, folder: str) -> DataFrame:
-    return models.lda(Base(spark, folder).counts, c.VOCABULARY, 8, "em")[1]
+    return models.lda(base_of(spark, folder).counts, c.VOCABULARY, 8, "em")[1]
 
 
 def hashed_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,8 +207,8 @@ def hashed_passages(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_centroids, doc_topic_weights, hard_topic, sparsify, _phi("hard"), _phi("soft"), _phi("sublinear"), daily_attention, top_terms, topic_labels, representative_passages,
-        npmi, diversity, topic_cosine, topic_matching, attention_agreement, contract_check, sweep_summary, kmeans_spherical, kmeans_euclid, lda_online, lda_em, hashed_passages,
+        topic_centroids, doc_topic_weights, hard_topic, sparsify, _phi("hard"), _phi("soft"), _phi("sublinear"), _phi("sparse"), daily_attention, top_terms, topic_labels, representative_passages,
+        npmi, diversity, topic_cosine, topic_matching, attention_agreement, contract_check, sweep_summary, comparison_report, topic_model, kmeans_spherical, kmeans_euclid, lda_online, lda_em, hashed_passages,
     )
 }
 
@@ -190,11 +225,17 @@ docs as (select row_id as doc from download_fnspid),
 theta as (select d.doc, t.topic, coalesce(s.s / sum(s.s) over (partition by d.doc), 1e0 / 10) as theta from docs d cross join (select cast(range as int) as topic from range(10)) t left join sums s on s.doc = d.doc and s.topic = t.topic),
 hard as (select doc, topic from theta qualify row_number() over (partition by doc order by round(theta, 9) desc, topic) = 1)
 """
+SPARSE_SQL = """
+ranked as (select doc, topic, round(theta, 9) as theta, row_number() over (partition by doc order by round(theta, 9) desc, topic) as place from theta),
+largest as (select doc, topic, place, case when place <= 2 then pow(theta, 2e0) else 0e0 end as t, round(max(case when place = 1 then theta end) over (partition by doc) - max(case when place = 2 then theta end) over (partition by doc), 12) as margin from ranked),
+cutoff as (select round(quantile_cont(cast(margin as double), 0.5), 12) as c from largest where place = 1),
+sparse as (select doc, topic, case when margin >= c then t / sum(t) over (partition by doc) * margin else 0e0 end as weight from largest, cutoff)
+"""
 _BOTH = c.VOCAB_SQL + "," + THETA_SQL
 
 
 def _phi_sql(how: str, name: str = "phi") -> str:
-    members = "select doc as row_id, topic, theta as weight from theta" if how == "soft" else "select doc as row_id, topic, 1e0 as weight from hard"
+    members = {"soft": "select doc as row_id, topic, theta as weight from theta", "sparse": "select doc as row_id, topic, weight from sparse"}.get(how, "select doc as row_id, topic, 1e0 as weight from hard")
     g = "1 + ln(tf)" if how == "sublinear" else "tf"
     return f"""
 members_{name} as ({members}),
@@ -214,15 +255,24 @@ _TOPS = "tops as (select topic, place, term_id, term, p from (select topic, term
 _HARD = f"with {_BOTH}, {_phi_sql('hard')}, {_TOPS}"
 _TWO = f"with {_BOTH}, {_phi_sql('hard')}, {_phi_sql('soft', 'phi_soft')}"
 
+
+
+def _arm_sql(how: str) -> str:
+    return f"""{_phi_sql(how, f"phi_{how}")},
+tops_{how} as (select topic, term_id from (select topic, term_id, row_number() over (partition by topic order by round(p, 12) desc, term_id) as place from phi_{how}) where place <= 10),
+pairs_{how} as (select a.topic, a.term_id as i, b.term_id as j from tops_{how} a join tops_{how} b on a.topic = b.topic and a.term_id < b.term_id),
+met_{how} as (select i, j, count(*) as co from (select distinct i, j from pairs_{how}) p join counts x on x.term_id = p.i join counts y on y.term_id = p.j and y.row_id = x.row_id group by i, j),
+probs_{how} as (select topic, coalesce(co, 0) / n + 1e-12 as p, coalesce(di.df, 0) / n + 1e-12 as pi, coalesce(dj.df, 0) / n + 1e-12 as pj from pairs_{how} cross join n left join met_{how} using (i, j) left join df di on di.term_id = i left join df dj on dj.term_id = j),
+npmi_{how} as (select topic, round(avg(ln(p / (pi * pj)) / -ln(p)), 9) as v from probs_{how} group by topic),
+summary_{how} as (select '{how}' as arm, count(*) as n, round(avg(v), 6) as mean, round(median(v), 6) as median, round(stddev_samp(v), 6) as sd, (select round(count(distinct term_id) / count(*)::double, 6) from tops_{how}) as diversity from npmi_{how})"""
+
+
 ORACLE = {
     "topic_centroids": f"with {THETA_SQL} select topic, cast(i - 1 as int) as place, round(c[i], 6) as x from (select topic, c, unnest(range(1, 65)) as i from centroids)",
     "doc_topic_weights": f"with {THETA_SQL} select doc, topic, round(theta, 6) as theta from theta",
     "hard_topic": f"with {THETA_SQL} select doc, topic from hard",
-    "sparsify": f"""with {THETA_SQL},
-ranked as (select doc, topic, round(theta, 9) as theta, row_number() over (partition by doc order by round(theta, 9) desc, topic) as place from theta),
-top as (select doc, topic, place, case when place <= 2 then pow(theta, 2e0) else 0e0 end as t, round(max(case when place = 1 then theta end) over (partition by doc) - max(case when place = 2 then theta end) over (partition by doc), 12) as margin from ranked),
-cut as (select round(quantile_cont(cast(margin as double), 0.5), 12) as c from top where place = 1)
-select doc, topic, round(case when margin >= c then t / sum(t) over (partition by doc) * margin else 0e0 end, 6) as weight from top, cut""",
+    "sparsify": f"with {THETA_SQL}, {SPARSE_SQL} select doc, topic, round(weight, 6) as weight from sparse",
+    "ctfidf_sparse": f"with {_BOTH}, {SPARSE_SQL}, {_phi_sql('sparse')} select topic, term_id, round(p, 8) as p from phi",
     **{f"ctfidf_{how}": f"with {_BOTH}, {_phi_sql(how)} select topic, term_id, round(p, 8) as p from phi" for how in ("hard", "soft", "sublinear")},
     "daily_attention": f"with {_BOTH}, {_ATTENTION} select date, topic, round(theta, 6) as theta from attention",
     "top_terms": f"{_HARD} select topic, place, term, round(p, 8) as p from tops",
@@ -242,5 +292,5 @@ select topic, round(avg(ln(p / (pi * pj)) / -ln(p)), 6) as npmi from probs group
 select 'theta_negative' as "check", count(*) as broken from attention where theta < -1e-6
 union all select 'theta_simplex', count(*) from (select date from attention group by date having abs(sum(theta) - 1) > 1e-4)
 union all select 'phi_simplex', count(*) from (select topic from phi group by topic having abs(sum(p) - 1) > 1e-4)""",
-    "sweep_summary": f"{_TWO} select arm, count(*) as n, round(avg(p), 9) as mean, round(median(p), 9) as median, round(stddev_samp(p), 9) as sd from (select 'hard' as arm, p from phi union all select 'soft', p from phi_soft) group by arm",
+    "sweep_summary": f"with {_BOTH}, {SPARSE_SQL}, n as (select count(*)::double as n from articles), df as (select term_id, count(*) as df from counts group by term_id), {', '.join(_arm_sql(how) for how in ('hard', 'soft', 'sparse'))} select * from summary_hard union all select * from summary_soft union all select * from summary_sparse",
 }

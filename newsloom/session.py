@@ -46,15 +46,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: `spark.checkpoint.dir`. Only a local session without that setting (tests, a laptop) gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="newsloom-")
+
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only a session
-    without that setting (tests, a laptop) gets a folder of its own.
-    """
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
@@ -63,3 +67,15 @@ def table(spark: SparkSession, folder: str, name: str, spread: bool = False) ->
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def stamp(df: DataFrame) -> tuple:
+    """Path, length and time of every file a table is read from, by the file system it lies on."""
+    spark = df.sparkSession
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = path_of(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)

@@ -58,3 +58,16 @@ def test_factor_queries_have_three_factors_and_twelve_penalties(spark, monkeypat
             query(spark, "")
     assert [asked[n]["k"] for n in ("tune", "out_of_sample", "fit")] == [3, 3, 3]
     assert [asked[n]["n_lams"] for n in ("tune", "out_of_sample")] == [12, 12]
+
+
+def test_parts_are_kept_while_the_files_stay_the_same(spark, frame, tmp_path):
+    def write(n):
+        frame([(i, "2020-01-01", "t", "ABC", f"u{i}", "words of an article " * 30) for i in range(n)], RAW).write.mode("overwrite").parquet(f"{tmp_path}/download_fnspid.parquet")
+
+    for name in topic_queries._TABLES[1:]:
+        frame([(1,)], "x int").write.parquet(f"{tmp_path}/{name}.parquet")
+    write(3)
+    first = topic_queries.base_of(spark, str(tmp_path))
+    assert topic_queries.base_of(spark, str(tmp_path)) is first and first.articles.count() == 3
+    write(5)
+    assert topic_queries.base_of(spark, str(tmp_path)).articles.count() == 5
