@@ -44,6 +44,8 @@ def test_clean_and_terms(frame):
     got = {r.row_id: r.c for r in df.select("row_id", text.clean("text").alias("c")).collect()}
     assert got == {1: "see now the cat s mat", 2: "", 3: ""}
     terms = {r.row_id: r.terms for r in text.terms_of(df).collect()}
+    assert terms == {1: ["cat", "mat", "cat mat"], 2: [], 3: []}  # "see" is a stop word too
+    terms = {r.row_id: r.terms for r in text.terms_of(df, ("now", "the")).collect()}
     assert terms == {1: ["see", "cat", "mat", "see cat", "cat mat"], 2: [], 3: []}
 
 
