@@ -53,16 +53,12 @@ def terms_of(df: DataFrame, stop: Sequence[str] | None = STOP_WORDS) -> DataFram
     return rows.select("row_id", with_bigrams("words").alias("terms"))
 
 
-def pair_counts(terms: DataFrame) -> DataFrame:
-    """Occurrences `tf` of every term in every text."""
-    # The outer form keeps the optimizer from adding a filter that would make the terms a second time.
-    return terms.select("row_id", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("row_id", "term").agg(F.count("*").alias("tf"))
-
-
 def vocabulary(df: DataFrame, size: int = 15_000, least_docs: int = 10, most_share: float = 0.4, stop: Sequence[str] | None = STOP_WORDS) -> DataFrame:
     """term_id, term, tf, df: the `size` most frequent terms found in at least `least_docs` texts and `most_share` of all; numbered in alphabetical order."""
     n = df.count()
-    counted = pair_counts(terms_of(df, stop)).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    # Every occurrence counts for tf, the first in its text for df too: one aggregation by term, combined within each task.
+    marked = terms_of(df, stop).select(F.explode_outer(F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))).alias("x"))
+    counted = marked.where("x is not null").groupBy("x.term").agg(F.sum("x.tf").alias("tf"), F.sum("x.df").alias("df"))
     fit = counted.where((F.col("df") >= least_docs) & (F.col("df") <= most_share * n))
     top = fit.orderBy(F.desc("tf"), "term").limit(size)
     # One task numbers the terms: at most `size` rows.
@@ -71,7 +67,9 @@ def vocabulary(df: DataFrame, size: int = 15_000, least_docs: int = 10, most_sha
 
 def term_counts(df: DataFrame, vocab: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
     """row_id, term_id, tf over a fixed vocabulary. By default stop words are not left out here, unlike when learning."""
-    return pair_counts(terms_of(df, stop)).join(F.broadcast(vocab.select("term_id", "term")), "term").select("row_id", "term_id", "tf")
+    occurring = terms_of(df, stop).select("row_id", F.explode_outer("terms").alias("term")).where("term is not null")
+    # The vocabulary has a fixed size; only its terms are shuffled, as numbers.
+    return occurring.join(F.broadcast(vocab.select("term_id", "term")), "term").groupBy("row_id", "term_id").agg(F.count("*").alias("tf"))
 
 
 def token_totals(df: DataFrame, counts: DataFrame) -> DataFrame:
