@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hashed_features
 from ..session import cut
+from . import em_lda
 from .topics import unit
 
 
@@ -36,7 +37,10 @@ def kmeans(vectors: DataFrame, k: int, measure: str = "cosine", seed: int = 7, p
 
 
 def lda(counts: DataFrame, terms: int, k: int, optimizer: str = "online", seed: int = 7, passes: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Topic-term table (topic, term_id, p) and document table (row_id, topic, theta), both distributions."""
+    """Topic-term table (topic, term_id, p) and document table (row_id, topic, theta), both distributions. 'em' is `em_lda.fit`, 'online' Spark ML's."""
+    if optimizer == "em":
+        cells = counts.where("tf > 0").groupBy("row_id").agg(F.collect_list(F.struct(F.col("term_id").cast("int").alias("id"), F.col("tf").cast("int").alias("tf"))).alias("cells"))
+        return em_lda.fit(cells.select("row_id", F.col("cells.id").alias("ids"), F.col("cells.tf").alias("tfs")), terms, k, seed, passes)
 
     def vector(cells: list) -> SparseVector:
         return SparseVector(terms, sorted((c.term_id, float(c.tf)) for c in cells))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.words import buffers
+
 # Words left out when a vocabulary is learned, in families and one by one; words of one or two letters are never tokens.
 _HERE = [f"{a}{b}" for a in ("here", "there", "where") for b in ("", "after", "by", "in", "upon")] + ["therefore", "whereas", "wherever", "thence", "whence", "hence", "thereby"]
 _SOME = [f"{a}{b}" for a in ("any", "every", "some", "no") for b in ("one", "thing", "where")] + ["anyhow", "anyway", "somehow", "nobody", "noone", "none"]
@@ -24,9 +29,13 @@ WHITE = "\\t-\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202
 
 def clean(text: str) -> Column:
     """Null as empty, URLs and all but letters A-Z as blanks, lower case, single spaces."""
+    return F.trim(F.lower(F.regexp_replace(_bare(text), "[^A-Za-z]+", " ")))
+
+
+def _bare(text: str) -> Column:
+    """Null as empty, URLs as blanks."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    bare = F.when(F.contains(whole, F.lit("://")), F.regexp_replace(whole, f"https?://[^{WHITE}]+", " ")).otherwise(whole)
-    return F.trim(F.lower(F.regexp_replace(bare, "[^A-Za-z]+", " ")))
+    return F.when(F.contains(whole, F.lit("://")), F.regexp_replace(whole, f"https?://[^{WHITE}]+", " ")).otherwise(whole)
 
 
 def tokens(cleaned: Column) -> Column:
@@ -53,12 +62,60 @@ def terms_of(df: DataFrame, stop: Sequence[str] | None = STOP_WORDS) -> DataFram
     return rows.select("row_id", with_bigrams("words").alias("terms"))
 
 
+#: Bytes to lower letters, and blanks for all that is no letter of A-Z.
+_LETTERS = np.full(256, ord(" "), np.uint8)
+_LETTERS[list(range(97, 123))] = _LETTERS[list(range(65, 91))] = np.arange(97, 123)
+#: Bytes of text whose words are counted at once.
+_AT_ONCE = 8 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[slice]:
+    """Rows of about `_AT_ONCE` bytes together; a text is never cut."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // _AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return (slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of `tokens(clean(text))` of texts without URLs, and the place of the text each is in."""
+    data, offsets = buffers(texts)
+    clean = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(_LETTERS[data])])
+    split = pc.ascii_split_whitespace(clean)
+    words, text = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    long = pc.greater_equal(pc.binary_length(words), 3)
+    return words.filter(long), text[long.to_numpy(zero_copy_only=False)]
+
+
+def _term_sums(batches: Iterator[pa.RecordBatch], stop: Sequence[str] | None) -> Iterator[pa.RecordBatch]:
+    """term, tf, df of slices of texts: words that are no stop words and pairs of them."""
+    for batch in batches:
+        for rows in _slices(batch.column(0)):
+            words, text = _words(batch.column(0)[rows])
+            if stop:
+                kept = pc.invert(pc.is_in(words, pa.array(stop, words.type)))
+                words, text = words.filter(kept), text[kept.to_numpy(zero_copy_only=False)]
+            if not len(words):
+                continue
+            coded = words.dictionary_encode()
+            w, n, texts = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary), rows.stop - rows.start
+            near = np.flatnonzero(text[:-1] == text[1:])
+            # A pair is first * n + second, a word n * n + word; all fit in 63 bits with the text beside them.
+            keys = np.sort(np.concatenate([(w[near] * n + w[near + 1]) * texts + text[near], (w + n * n) * texts + text]))
+            fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
+            code = keys // texts
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            code, tf, df = code[first], np.diff(np.append(first, len(code))), np.add.reduceat(fresh.astype(np.int64), first)
+            two = int(np.searchsorted(code, n * n))
+            pairs = pc.binary_join_element_wise(coded.dictionary.take(pa.array(code[:two] // n)), coded.dictionary.take(pa.array(code[:two] % n)), pa.scalar(" ", words.type))
+            terms = pa.concat_arrays([pairs, coded.dictionary.take(pa.array(code[two:] - n * n))])
+            yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(tf, pa.int64()), pa.array(df, pa.int64())], names=["term", "tf", "df"])
+
+
 def vocabulary(df: DataFrame, size: int = 15_000, least_docs: int = 10, most_share: float = 0.4, stop: Sequence[str] | None = STOP_WORDS) -> DataFrame:
     """term_id, term, tf, df: the `size` most frequent terms found in at least `least_docs` texts and `most_share` of all; numbered in alphabetical order."""
     n = df.count()
-    # Every occurrence counts for tf, the first in its text for df too: one aggregation by term, combined within each task.
-    marked = terms_of(df, stop).select(F.explode_outer(F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))).alias("x"))
-    counted = marked.where("x is not null").groupBy("x.term").agg(F.sum("x.tf").alias("tf"), F.sum("x.df").alias("df"))
+    # Every occurrence counts for tf, the first in its text for df too: added up by slices of a task, then by term.
+    counted = df.select(_bare("text").alias("text")).mapInArrow(lambda b: _term_sums(b, stop), "term string, tf bigint, df bigint").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     fit = counted.where((F.col("df") >= least_docs) & (F.col("df") <= most_share * n))
     top = fit.orderBy(F.desc("tf"), "term").limit(size)
     # One task numbers the terms: at most `size` rows.
@@ -72,6 +129,45 @@ def term_counts(df: DataFrame, vocab: DataFrame, stop: Sequence[str] | None = No
     return occurring.join(F.broadcast(vocab.select("term_id", "term")), "term").groupBy("row_id", "term_id").agg(F.count("*").alias("tf"))
 
 
+def packed_counts(df: DataFrame, vocab: DataFrame) -> DataFrame:
+    """row_id, ids, tfs: the cells of `term_counts`, those of each row in arrays by term_id; rows are not shuffled, so those of one row_id stay apart. Rows without a term are left out."""
+    known = [(int(r.term_id), r.term.split(" ")) for r in vocab.select("term_id", "term").collect()]
+    parts = sorted({w for _, t in known for w in t})
+    place = {w: i for i, w in enumerate(parts)}
+    single, size = np.full(len(parts) + 1, -1), max((t for t, _ in known), default=0) + 1
+    for t, w in known:
+        if len(w) == 1:
+            single[place[w[0]]] = t
+    pairs = sorted((place[w[0]] * len(parts) + place[w[1]], t) for t, w in known if len(w) == 2)
+    codes, numbers = (np.array([x[i] for x in pairs] + [-1][: not pairs], np.int64) for i in (0, 1))
+    sent = df.sparkSession.sparkContext.broadcast((parts, single, codes, numbers))
+
+    def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the text, term_id and tf, in this order."""
+        parts, single, codes, numbers = sent.value
+        words, text = _words(texts)
+        w = pc.fill_null(pc.index_in(words, pa.array(parts, words.type)), -1).to_numpy().astype(np.int64)
+        near = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0) & (text[:-1] == text[1:]))
+        code = w[near] * len(parts) + w[near + 1]
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        two = codes[at] == code
+        one = single[w]  # the last, at -1, is no term
+        cells = np.sort(np.concatenate([text[one >= 0] * size + one[one >= 0], text[near[two]] * size + numbers[at[two]]]))
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+        return cells[first] // size, cells[first] % size, np.diff(np.append(first, len(cells)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rows in _slices(whole.column(1)):
+                b = whole.slice(rows.start, rows.stop - rows.start)
+                text, ids, tfs = count(b.column(1))
+                found, lens = np.unique(text, return_counts=True)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found)), *(pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, tfs))], names=["row_id", "ids", "tfs"])
+
+    return df.select(F.col("row_id").cast("bigint").alias("row_id"), _bare("text").alias("text")).mapInArrow(run, "row_id bigint, ids array<int>, tfs array<int>")
+
+
 def token_totals(df: DataFrame, counts: DataFrame) -> DataFrame:
     """row_id and n_tokens, 0 for texts without a term of the vocabulary."""
     sums = counts.groupBy("row_id").agg(F.sum("tf").alias("n_tokens"))

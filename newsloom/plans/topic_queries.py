@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models, quality, reports, text, topics
+from ..operators import em_lda, models, quality, reports, text, topics
 from ..session import cut, stamp, table
 from . import corpus_queries as c
 
@@ -197,7 +197,9 @@ def lda_online(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lda_em(spark: SparkSession, folder: str) -> DataFrame:
-    return models.lda(base_of(spark, folder).counts, c.VOCABULARY, 8, "em")[1]
+    """By EM, from counts that are packed as the texts are read."""
+    base = base_of(spark, folder)
+    return em_lda.fit(text.packed_counts(base.articles, base.vocab), c.VOCABULARY, 8, documents=base.articles.count())[1]
 
 
 def hashed_passages(spark: SparkSession, folder: str) -> DataFrame:
